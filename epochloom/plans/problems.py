@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochloom.operators import intervals
+from epochloom.operators import intervals, spikes
 from epochloom.session import cut
 from epochloom.sources.tables import table
 
@@ -45,3 +45,48 @@ SELECT recording_id, 'period' AS kind, s AS start_ms, e AS end_ms FROM p
 UNION ALL SELECT recording_id, 'gap', prev, s FROM q WHERE prev IS NOT NULL
 UNION ALL SELECT DISTINCT r.recording_id, 'inside', r.s, r.e FROM r JOIN p ON r.recording_id = p.recording_id AND r.s > p.s + p.tol AND r.s <= p.e
 """
+
+
+def _flagged(spark: SparkSession, folder: str, name: str, source: list[str], order: list[str], value: str, possible, chunk: list) -> DataFrame:
+    flags = spikes.flag_readings(table(spark, folder, name), "row_id", source, [F.col(o) for o in order], value, possible, chunk)
+    return flags.select(F.lit(name).alias("table_name"), "*")
+
+
+def _spans(seconds: float) -> list:
+    return [F.floor(F.col("absolute_start") / seconds)]
+
+
+def p3_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings with any flag or a large innovation, in the three measured tables."""
+    finite = lambda c: (F.col(c) != float("inf")) & (F.col(c) != float("-inf"))
+    six_hours = 21_600.0
+    spectra = _flagged(spark, folder, "spectra", ["recording_id", "electrode", "frequency_hz"], ["block_id", "epoch"], "power", finite("power") & (F.col("power") > 0), [F.col("block_id"), F.floor(F.col("epoch") / 720)])
+    features = _flagged(spark, folder, "features", ["recording_id", "electrode"], ["absolute_start", "block_id", "epoch"], "yasa_eeg_std", finite("yasa_eeg_std") & (F.col("yasa_eeg_std") > 0), _spans(six_hours))
+    wake = _flagged(spark, folder, "hypnodensities", ["recording_id", "stager", "channel_set"], ["absolute_start", "block_id", "epoch"], "prob_w", F.col("prob_w").between(0, 1), _spans(six_hours))
+    return spectra.unionByName(features).unionByName(wake)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose reading is impossible, stuck or far off for its source."""
+    return p3_flags(spark, folder).where("impossible OR stuck OR spike").select("table_name", "row_id")
+
+
+def _p3_sql(name: str, source: str, order: str, value: str, possible: str) -> str:
+    return f"""
+SELECT '{name}' AS table_name, row_id FROM (
+  WITH r AS (SELECT row_id, {source}, {order}, {value} AS y, {possible} AS ok FROM {name} WHERE {value} IS NOT NULL AND NOT isnan({value})),
+  u AS (SELECT DISTINCT {source}, {order}, y, ok FROM r),
+  s AS (SELECT {source}, count(*) AS n, median(y) AS m FROM u WHERE ok GROUP BY {source}),
+  d AS (SELECT {", ".join("u." + c for c in source.split(", "))}, median(abs(y - m)) AS mad FROM u JOIN s USING ({source}) WHERE ok GROUP BY ALL),
+  b AS (SELECT *, CASE WHEN y = lag(y) OVER (PARTITION BY {source} ORDER BY {order}, y) THEN 0 ELSE 1 END AS new FROM u),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY {source} ORDER BY {order}, y ROWS UNBOUNDED PRECEDING) AS run FROM b),
+  l AS (SELECT *, count(*) OVER (PARTITION BY {source}, run) AS len FROM g),
+  c AS (SELECT l.* FROM l LEFT JOIN s USING ({source}) LEFT JOIN d USING ({source}) WHERE NOT ok OR len >= 5 OR (n >= 20 AND abs(y - m) > 12 * mad))
+  SELECT DISTINCT row_id FROM r SEMI JOIN c USING ({source}, {order}, y))"""
+
+
+P3_SQL = " UNION ALL ".join((
+    _p3_sql("spectra", "recording_id, electrode, frequency_hz", "block_id, epoch", "power", "power > 0 AND NOT isinf(power)"),
+    _p3_sql("features", "recording_id, electrode", "absolute_start, block_id, epoch", "yasa_eeg_std", "yasa_eeg_std > 0 AND NOT isinf(yasa_eeg_std)"),
+    _p3_sql("hypnodensities", "recording_id, stager, channel_set", "absolute_start, block_id, epoch", "prob_w", "prob_w BETWEEN 0 AND 1"),
+))

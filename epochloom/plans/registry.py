@@ -8,8 +8,11 @@ FLAGSHIP = "p1_found"
 
 QUERIES = {
     "p1_found": problems.p1_found,
+    "p3_found": problems.p3_found,
+    "p3_flags": problems.p3_flags,
 }
 
 SQL = {
     "p1_found": problems.P1_SQL,
+    "p3_found": problems.P3_SQL,
 }
