@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochloom.operators import intervals, spikes
+from epochloom.operators import intervals, orphans, regrid, spikes
+from epochloom.operators.orphans import Entity, ForeignKey
 from epochloom.session import cut
 from epochloom.sources.tables import table
 
@@ -90,3 +91,98 @@ P3_SQL = " UNION ALL ".join((
     _p3_sql("features", "recording_id, electrode", "absolute_start, block_id, epoch", "yasa_eeg_std", "yasa_eeg_std > 0 AND NOT isinf(yasa_eeg_std)"),
     _p3_sql("hypnodensities", "recording_id, stager, channel_set", "absolute_start, block_id, epoch", "prob_w", "prob_w BETWEEN 0 AND 1"),
 ))
+
+
+#: The dealt references; p4_found reports these.
+REFERENCES = [
+    ForeignKey("hypnodensities", "electrode", "electrodes", "electrode"),
+    ForeignKey("features", "subject", "subjects", "subject"),
+    ForeignKey("hypnodensities", "block_id", "blocks", "block_id"),
+    ForeignKey("features", "block_id", "blocks", "block_id"),
+]
+#: With the tables between blocks and epochs, so that orphanhood can be inherited.
+REFERENCE_GRAPH = [
+    *REFERENCES,
+    ForeignKey("continuous_runs", "block_id", "blocks", "block_id"),
+    ForeignKey("epoch_metadata", "block_id", "blocks", "block_id"),
+    ForeignKey("features", "continuous_run_id", "continuous_runs", "run_id"),
+    ForeignKey("hypnodensities", "continuous_run_id", "continuous_runs", "run_id"),
+]
+
+
+def _entities(spark: SparkSession, folder: str, keys: list[ForeignKey]) -> dict[str, Entity]:
+    deleting = {"electrodes", "subjects", "blocks"}
+    names = {fk.child for fk in keys} | {fk.parent for fk in keys}
+    return {n: Entity(table(spark, folder, n), "row_id", deleted_at="deleted_at" if n in deleting else None) for n in names}
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Direct orphans of the dealt references, with month and reason."""
+    rows = orphans.orphan_cascade(_entities(spark, folder, REFERENCES), REFERENCES).where("depth = 0")
+    return rows.select("table_name", "field_name", "row_id", F.date_format("loaded_at", "yyyy-MM").alias("period"), "reason")
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Direct and inherited orphans per table, field, month, reason and depth."""
+    rows = orphans.orphan_cascade(_entities(spark, folder, REFERENCE_GRAPH), REFERENCE_GRAPH)
+    return rows.groupBy("table_name", "field_name", F.date_format("loaded_at", "yyyy-MM").alias("period"), "reason", "depth").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _p4_sql(child: str, field: str, parent: str, deleted: str = "deleted_at") -> str:
+    key = "run_id" if field == "continuous_run_id" else field
+    return f"""
+SELECT '{child}' AS table_name, '{field}' AS field_name, c.row_id, strftime(c.loaded_at, '%Y-%m') AS period,
+       CASE WHEN p.key IS NULL THEN 'missing' WHEN p.first > c.loaded_at THEN 'late' ELSE 'deleted' END AS reason
+FROM {child} c LEFT JOIN (SELECT {key} AS key, min(loaded_at) AS first FROM {parent} GROUP BY 1) p ON p.key = c.{field}
+WHERE c.{field} IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM {parent} x WHERE x.{key} = c.{field} AND x.loaded_at <= c.loaded_at AND ({deleted} IS NULL OR {deleted} > c.loaded_at))"""
+
+
+P4_SQL = " UNION ALL ".join(_p4_sql(fk.child, fk.field, fk.parent, f"x.deleted_at") for fk in REFERENCES)  # noqa: F541
+
+_P4_GRAPH_SQL = ",\n".join(
+    f"d{i} AS ({_p4_sql(fk.child, fk.field, fk.parent, 'x.deleted_at' if fk.parent != 'continuous_runs' else 'NULL')})" for i, fk in enumerate(REFERENCE_GRAPH)
+)
+P4_REPORT_SQL = f"""
+WITH {_P4_GRAPH_SQL},
+direct AS ({" UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(len(REFERENCE_GRAPH)))}),
+gone AS (SELECT run_id FROM continuous_runs WHERE run_id IS NOT NULL GROUP BY run_id
+         HAVING bool_and(row_id IN (SELECT row_id FROM direct WHERE table_name = 'continuous_runs'))),
+heirs AS (
+  SELECT 'features' AS table_name, 'continuous_run_id' AS field_name, row_id, strftime(loaded_at, '%Y-%m') AS period FROM features WHERE continuous_run_id IN (SELECT run_id FROM gone)
+  UNION ALL SELECT 'hypnodensities', 'continuous_run_id', row_id, strftime(loaded_at, '%Y-%m') FROM hypnodensities WHERE continuous_run_id IN (SELECT run_id FROM gone)),
+everything AS (
+  SELECT *, 0 AS depth FROM direct
+  UNION ALL SELECT h.*, 'inherited', 1 FROM heirs h ANTI JOIN direct d ON d.table_name = h.table_name AND d.field_name = h.field_name AND d.row_id = h.row_id)
+SELECT table_name, field_name, period, reason, depth, count(*) AS n_rows FROM everything GROUP BY ALL
+"""
+
+
+def _p6(spark: SparkSession, folder: str) -> DataFrame:
+    runs = table(spark, folder, "continuous_runs")
+    pairs = runs.select(F.col("recording_id").alias("key"), F.explode(F.arrays_zip("sample_times", "signal")).alias("z"))
+    readings = pairs.select("key", F.col("z.sample_times").alias("time"), F.col("z.signal").alias("value"))
+    spans = runs.select(F.col("recording_id").alias("key"), F.col("start_time").alias("start"), F.col("end_time").alias("end"))
+    return regrid.regular_grid(readings, spans)
+
+
+def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Every ten seconds of each recording: a value with its uncertainty, observed or filled."""
+    return _p6(spark, folder).select(F.col("key").alias("recording_id"), (F.col("cell") * 10).alias("cell_s"), "kind", "readings", "value", "sd")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells without readings between a recording's first and last cell with readings."""
+    return p6_grid(spark, folder).where("kind <> 'observed'").select("recording_id", "cell_s", "kind")
+
+
+P6_SQL = """
+WITH x AS (SELECT recording_id, unnest(sample_times) AS t, unnest(signal) AS v FROM continuous_runs),
+c AS (SELECT DISTINCT recording_id, CAST(floor(t / 10) AS BIGINT) AS cell FROM x WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v)),
+r AS (SELECT recording_id, min(cell) AS f, max(cell) AS l FROM c GROUP BY 1),
+g AS (SELECT recording_id, unnest(range(f, l + 1)) AS cell FROM r),
+m AS (SELECT g.* FROM g ANTI JOIN c USING (recording_id, cell))
+SELECT recording_id, cell * 10 AS cell_s,
+       CASE WHEN EXISTS (SELECT 1 FROM continuous_runs k WHERE k.recording_id = m.recording_id AND k.start_time < m.cell * 10 + 10 AND k.end_time >= m.cell * 10) THEN 'lost' ELSE 'break' END AS kind
+FROM m
+"""
