@@ -113,6 +113,8 @@ def measure(text: str | None, known) -> dict | None:
         brief = wide <= 30 and n - wide <= 12
         items += brief
         marked += bool(mark) and brief
+    if marked * 2 >= items:
+        items = marked  # a heading above marked items is none of them
     prose_like = marked * 2 <= items and (sum(ended) * 4 > len(lines) or inner * 10 > len(lines))
     return {
         "n_words": len(words),
