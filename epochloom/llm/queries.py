@@ -41,10 +41,21 @@ SHAPE = sketch.Shape()
 
 
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of prob_n1 per condition and label, from sketches of every partition."""
-    groups = ["condition", "experimental_label"]
-    sketches = sketch.build_sketches(table(spark, folder, "hypnodensities"), "prob_n1", groups, SHAPE)
-    return sketch.percentiles(sketches, groups, SHAPE, FRACTIONS)
+    """Percentiles of prob_n1 per condition and label: by sketch, with its error bound, and exact."""
+    return sketch.exact_percentiles(table(spark, folder, "hypnodensities"), "prob_n1", ["condition", "experimental_label"], SHAPE, FRACTIONS)
+
+
+def p5_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact percentiles that the sketches' brackets lead to."""
+    return p5_percentiles(spark, folder).select("condition", "experimental_label", "q", "n_values", "exact")
+
+
+P5_SQL = """
+WITH v AS (SELECT condition, experimental_label, prob_n1 AS v FROM hypnodensities WHERE prob_n1 IS NOT NULL AND NOT isnan(prob_n1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY condition, experimental_label ORDER BY v) AS k, count(*) OVER (PARTITION BY condition, experimental_label) AS n_values FROM v),
+q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS q)
+SELECT condition, experimental_label, q, n_values, v AS exact FROM r, q WHERE k = greatest(1, ceil(q * n_values))
+"""
 
 
 def p5_combined(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,6 +92,6 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(p9_scores(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_percentiles, p5_combined, p7_ids, p8_mix, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_percentiles, p5_exact, p5_combined, p7_ids, p8_mix, p8_shares, p9_found, p9_scores)}
 
-SQL = {"p2_found": P2_SQL}
+SQL = {"p2_found": P2_SQL, "p5_exact": P5_SQL}

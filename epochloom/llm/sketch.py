@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochloom.operators.select import select_ranks
+from epochloom.session import cut
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -221,21 +224,29 @@ def subtract_sketches(left: DataFrame, right: DataFrame) -> DataFrame:
     return _merged(left.unionByName(right.withColumn("cells", F.transform("cells", lambda c: -c))))
 
 
-def percentiles(sketches: DataFrame, groups: list[str], shape: Shape, fractions: list[float]) -> DataFrame:
-    """(groups, n_values, q, value, rank_error) per group; groups without values have no rows.
+def _inverted(sketches: DataFrame, shape: Shape, fractions: list[float]) -> DataFrame:
+    """(key, n_values, q, value, rank_error, low, high) per group; groups without values have no rows.
 
     ``value`` is within the resolution 2**-bits * (high - low) of a value whose rank is off by at most
-    ``rank_error`` * n_values (three standard deviations).
+    ``rank_error`` * n_values (three standard deviations); low and high are the values at ranks so far
+    below and above.
     """
-    out = pa.schema([("key", pa.string()), ("n_values", pa.int64()), ("q", pa.float64()), ("value", pa.float64()), ("rank_error", pa.float64())])
+    names = ["key", "n_values", "q", "value", "rank_error", "low", "high"]
+    out = pa.schema([("key", pa.string()), ("n_values", pa.int64()), *[(c, pa.float64()) for c in names[2:]]])
+    cell = (shape.high - shape.low) / 2**shape.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
 
         def done() -> pa.RecordBatch:
-            n, values, error = invert(shape, np.concatenate(parts), fractions)
+            whole = np.concatenate(parts)
+            n, values, error = invert(shape, whole, fractions)
+            # Errors of the bracket's own ends count too; outside [low, high] anything may lie.
+            ends = lambda side: invert(shape, whole, [min(max(q + side * 2 * error, 0.0), 1.0) for q in fractions])[1]
+            low = [-np.inf if v - cell <= shape.low else v - cell for v in ends(-1)]
+            high = [np.inf if v + cell >= shape.high else v + cell for v in ends(1)]
             m = len(values)
-            return pa.RecordBatch.from_pydict({"key": [now] * m, "n_values": [n] * m, "q": fractions[:m], "value": values, "rank_error": [error] * m}, schema=out)
+            return pa.RecordBatch.from_pydict(dict(zip(names, ([now] * m, [n] * m, fractions[:m], values, [error] * m, low, high), strict=True)), schema=out)
 
         for batch in batches:
             for key, cells in zip(batch.column("key").to_pylist(), batch.column("cells"), strict=True):
@@ -247,5 +258,49 @@ def percentiles(sketches: DataFrame, groups: list[str], shape: Shape, fractions:
         if now is not None:
             yield done()
 
-    rows = sketches.repartition("key").sortWithinPartitions("key", "part").mapInArrow(run, "key string, n_values long, q double, value double, rank_error double")
-    return rows.select(*[F.get_json_object("key", f"$.g{i}").alias(g) for i, g in enumerate(groups)], "n_values", "q", "value", "rank_error")
+    return sketches.repartition("key").sortWithinPartitions("key", "part").mapInArrow(run, "key string, n_values long, q double, value double, rank_error double, low double, high double")
+
+
+def _unkeyed(groups: list[str]) -> list[Column]:
+    return [F.get_json_object("key", f"$.g{i}").alias(g) for i, g in enumerate(groups)]
+
+
+def percentiles(sketches: DataFrame, groups: list[str], shape: Shape, fractions: list[float]) -> DataFrame:
+    """(groups, n_values, q, value, rank_error) per group; groups without values have no rows.
+
+    ``value`` is within the resolution 2**-bits * (high - low) of a value whose rank is off by at most
+    ``rank_error`` * n_values (three standard deviations).
+    """
+    return _inverted(sketches, shape, fractions).select(*_unkeyed(groups), "n_values", "q", "value", "rank_error")
+
+
+def exact_percentiles(df: DataFrame, value: str, groups: list[str], shape: Shape, fractions: list[float]) -> DataFrame:
+    """Percentiles by sketch with the exact ones beside: (groups, n_values, q, value, rank_error, exact).
+
+    The sketch brackets each percentile; a second pass counts what lies below the bracket and selects the
+    wanted rank among the few values inside by a radix descent. ``exact`` is the value at rank ceil(q * n),
+    the least value of which at least q of all values are no larger. A bracket that misses its rank (as
+    three standard deviations may) is widened to all values of its group.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(_key_struct(groups).alias("key"), (v + F.lit(0.0)).alias("v"))
+    found = cut(_inverted(build_sketches(df, value, groups, shape), shape, fractions))
+
+    def selected(brackets: DataFrame) -> DataFrame:
+        """Exact values of (key, q, n_values, low, high); none where the rank lies outside."""
+        per_key = brackets.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("q", "low", "high", "n_values"))).alias("bs"))
+        near = rows.join(per_key, "key")
+        inside = near.select("key", "v", F.explode(F.filter("bs", lambda b: (F.col("v") >= b["low"]) & (F.col("v") <= b["high"]))).alias("b")).select("key", F.col("b.q").alias("q"), "v")
+        below = near.groupBy("key").agg(*[F.sum(F.when(F.col("v") < F.get("bs", F.lit(i))["low"], 1).otherwise(0)).alias(f"b{i}") for i in range(len(fractions))])
+        wanted = brackets.join(below, "key").select(
+            "key", "q", F.lit(0).alias("target"),
+            (F.greatest(F.lit(1.0), F.ceil(F.col("q") * F.col("n_values"))) - F.element_at(F.array(*[F.col(f"b{i}") for i in range(len(fractions))]), F.array_position(F.lit(sorted(fractions)), F.col("q")).cast("int"))).cast("long").alias("rank"),
+        )
+        return select_ranks(inside, ["key", "q"], "v", wanted).select("key", "q", F.col("value").alias("exact"))
+
+    first = cut(selected(found))
+    missed = cut(found.join(first, ["key", "q"], "left_anti"))
+    if not missed.isEmpty():
+        everything = found.join(missed.select("key").distinct(), "key", "left_semi").withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
+        first = first.unionByName(selected(everything).join(missed, ["key", "q"], "left_semi"))
+    return found.join(first, ["key", "q"]).select(*_unkeyed(groups), "n_values", "q", "value", "rank_error", "exact")
