@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from epochloom.plans import problems
+from epochloom.plans import common, problems, relational  # noqa: F401
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "phase_means"
 
 QUERIES = {
     "p1_found": problems.p1_found,
@@ -14,7 +14,7 @@ QUERIES = {
     "p4_report": problems.p4_report,
     "p6_found": problems.p6_found,
     "p6_grid": problems.p6_grid,
-}
+} | common.QUERIES
 
 SQL = {
     "p1_found": problems.P1_SQL,
@@ -22,4 +22,4 @@ SQL = {
     "p4_found": problems.P4_SQL,
     "p4_report": problems.P4_REPORT_SQL,
     "p6_found": problems.P6_SQL,
-}
+} | common.SQL
