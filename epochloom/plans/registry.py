@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from epochloom.plans import common, problems, relational  # noqa: F401
+from epochloom.plans import common, problems, relational, series, statistics  # noqa: F401
 
-FLAGSHIP = "phase_means"
+FLAGSHIP = "effect_summary"
 
 QUERIES = {
     "p1_found": problems.p1_found,
