@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,10 +11,13 @@ from pyspark.sql import functions as F
 from epochloom.functions import kernels
 from epochloom.functions.probability import window_label
 from epochloom.operators import segmentation as seg
-from epochloom.operators import signals, staging, windows
+from epochloom.operators import intervals, signals, staging, windows
+from epochloom.plans import runs
 from epochloom.plans.common import FT, PROBS, feats, query
 from epochloom.plans.relational import WINDOWS
+from epochloom.session import shared_folder
 from epochloom.sources.tables import clean_table, table
+from epochloom.streaming import periods
 
 STEP, PER_EPOCH, TOLERANCE = 30.0, 4, 90.0
 #: Embeddings stand in for epochs of 64 samples.
@@ -205,3 +210,26 @@ def predicted_states(spark: SparkSession, folder: str) -> DataFrame:
     """A pluggable predictor over the blocks of the features table, as probability rows with metadata."""
     rows = feats(spark, folder)
     return staging.run_predictor(rows, ["recording_id", "block_id", "electrode"], "epoch", ["bp_rel_delta", "bp_rel_theta", "bp_rel_alpha", "bp_rel_sigma", "bp_rel_beta"], staging.share_predictor, "share").select("recording_id", "block_id", "electrode", "epoch", "stager", *PROBS, "stage", "error")
+
+
+@query(f"WITH {_EPOCHS}, tol AS (SELECT unnest([0, 15, 30, 60, 90, 120])::DOUBLE AS tolerance) SELECT recording_id, tolerance, count(*) FILTER (gap_seconds > tolerance) + 1 AS n_blocks, sum(n_epochs)::BIGINT AS n_epochs FROM bl, tol GROUP BY ALL")
+def tolerance_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    table_of_runs = seg.run_table(_labelled(spark, folder), "recording_id", "t", PER_EPOCH)
+    return runs.tolerance_sweep(table_of_runs, "recording_id", STEP, [0, 15, 30, 60, 90, 120])
+
+
+@query("""WITH e AS (SELECT recording_id, CAST(round(absolute_start * 1000) AS BIGINT) AS s, CAST(round(absolute_end * 1000) AS BIGINT) AS e FROM epoch_metadata WHERE absolute_start IS NOT NULL AND absolute_end >= absolute_start AND NOT isnan(absolute_start) AND NOT isnan(absolute_end)),
+w AS (SELECT *, max(e) OVER (PARTITION BY recording_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e), g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 6 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM w)
+SELECT recording_id, min(s) AS start_ms, max(e) AS end_ms FROM g GROUP BY recording_id, k""")
+def stream_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Periods from a stream of epochs: streamed pieces per bucket, then merged across buckets."""
+    path = f"{folder}/epoch_metadata.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    ms = lambda c: F.round(F.nanvl(c, F.lit(None)) * 1000).cast("long")
+    rows = source.select(F.col("recording_id").alias("key"), ms("absolute_start").alias("start_ms"), ms("absolute_end").alias("end_ms"))
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    periods.run_to_table(periods.stream_pieces(rows, 6.0), f"{where}/out", f"{where}/checkpoint")
+    pieces = periods.latest(spark.read.parquet(f"{where}/out"))
+    tolerance = pieces.select("key", F.lit(6.0).alias("tolerance")).distinct()
+    merged = intervals.merge_intervals(pieces, "key", "start_ms", "end_ms", tolerance)
+    return merged.where("kind = 'period'").select(F.col("key").alias("recording_id"), "start_ms", "end_ms")

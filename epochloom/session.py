@@ -21,14 +21,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's reliable checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder that all executors share.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only a session without one (tests)
-    gets a folder of its own. Reliable checkpoints survive the loss of executors.
+    It is the one named in ``spark.checkpoint.dir``; only a session without one (tests) gets a folder of
+    its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="epochloom-ck-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder; reliable checkpoints survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
