@@ -30,28 +30,33 @@ COMMON_SHARE, LEAST_DOCUMENTS = 2e-4, 3
 #: Up to so many common words are broadcast; more are matched by a join.
 MOST_BROADCAST_WORDS = 300_000
 
-_IDEOGRAM = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]"
-_TOKEN = regex.compile(rf"{_IDEOGRAM}|(?:(?!{_IDEOGRAM})\p{{L}})(?:(?!{_IDEOGRAM})[\p{{L}}\p{{M}}])*")
+_SCRIPTS = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]"
+_IDEOGRAM = regex.compile(_SCRIPTS)
+_TOKEN = regex.compile(rf"(?V1){_SCRIPTS}|[\p{{L}}--{_SCRIPTS}][[\p{{L}}\p{{M}}]--{_SCRIPTS}]*")
+_SYMBOL, _DIGIT, _INVISIBLE = regex.compile(r"[^\p{L}\p{M}\p{N}\s]"), regex.compile(r"\p{Nd}"), regex.compile(r"\p{Cf}+")
+_MISREAD = regex.compile(r"[\x80-\x9f]|[ÃÐÑãåæ][\x80-\xbf]")
 _TAG = regex.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _MARK = regex.compile(r"^\s*(?:[-*+•–—·▪◦‣○●►→]|\[[ xX✓✔]?\]|[☐☑☒✓✔]|\(?\d{1,4}[.)]|\(?\p{L}[.)]|\(?[ivxIVX]{1,5}[.)]|§\s?\d+|[①-⑳])\s+")
 _END = regex.compile(r"[.!?…。！？．؟](?:\s?[\"'»”’\)\]」』）])*$")
 _INNER_END = regex.compile(r"[.!?…]\s+\p{Lu}|[。！？].")
-_TRAILING = regex.compile(r"[\p{So}\p{Sk}\p{Cf}\p{Mn}\s]+$")
-_NUMBER = regex.compile(r"^[-+~<>≈]?[\d][\d.,:/%\s]*%?$|^-$")
+_TRAILING = regex.compile(r"(?r)[\p{So}\p{Sk}\p{Cf}\p{Mn}\s]+$")
+_NUMBER = regex.compile(r"^[-+~<>≈]?(?:0|0?[.,]\d+|0[.,:/]\d[\d.,:/]*|[1-9][\d.,:/]*)\s?%?$|^-$")
 _SEPARATORS = [regex.compile(p) for p in (r"\|", "│", r"\t", ";", ",", r" {2,}")]
 _PLAIN_SEPARATORS = 4  # from here on a separator also occurs in prose
 
 
 def repair(text: str) -> str:
     """Undo UTF-8 read as Latin-1, drop invisible characters, compose compatibility forms."""
-    if regex.search(r"[\x80-\x9f]|[ÃÐÑãåæ][\x80-\xbf]", text):
+    if text.isascii():
+        return text
+    if _MISREAD.search(text):
         for codec in ("latin-1", "cp1252"):
             try:
                 text = text.encode(codec).decode("utf-8")
                 break
             except UnicodeError:
                 continue
-    return "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
 
 
 def tokens(text: str) -> list[str]:
@@ -60,13 +65,18 @@ def tokens(text: str) -> list[str]:
 
 
 def _can_be_word(token: str) -> bool:
-    return len(token) > 1 or bool(regex.match(_IDEOGRAM, token))
+    return len(token) > 1 or bool(_IDEOGRAM.match(token))
 
 
 def table_share(lines: list[str]) -> float:
     """The largest share of lines that are rows of cells set apart by the same means."""
     best = 0.0
+    if len(lines) < 2:
+        return best
+    whole = "\n".join(lines)
     for k, separator in enumerate(_SEPARATORS):
+        if not separator.search(whole):
+            continue
         rows = []
         for line in lines:
             cells = [c.strip() for c in separator.split(line.strip() if k != 2 else line.strip(" "))]
@@ -92,7 +102,7 @@ def measure(text: str | None, known) -> dict | None:
         return None
     text = repair(text)
     lines = [line for line in text.splitlines() if line.strip()]
-    dense = sum(not c.isspace() for c in text)
+    dense = sum(map(len, text.split()))
     if not lines or not dense:
         return None
     words = tokens(text)
@@ -106,10 +116,12 @@ def measure(text: str | None, known) -> dict | None:
         while (cut_more := _MARK.sub("", body)) != body:
             body = cut_more
         inner += bool(_INNER_END.search(body))
+        if end or body.rstrip().endswith((":", "：")):
+            continue
         n = len(_TOKEN.findall(body))
-        wide = len(regex.findall(_IDEOGRAM, body))
-        if end or not n or body.rstrip().endswith((":", "：")):
+        if not n:
             continue
+        wide = len(_IDEOGRAM.findall(body))
         brief = wide <= 30 and n - wide <= 12
         items += brief
         marked += bool(mark) and brief
@@ -119,8 +131,8 @@ def measure(text: str | None, known) -> dict | None:
     return {
         "n_words": len(words),
         "mean_word_length": round(sum(map(len, words)) / len(words), 3) if words else 0.0,
-        "symbol_ratio": round(sum(not c.isalnum() and not c.isspace() for c in text) / dense, 3),
-        "digit_ratio": round(sum(c.isdigit() for c in text) / dense, 3),
+        "symbol_ratio": round(len(_SYMBOL.findall(text)) / dense, 3),
+        "digit_ratio": round(len(_DIGIT.findall(text)) / dense, 3),
         "end_share": 0.0 if is_table else round(sum(ended) / len(lines), 3),
         "words_per_line": round(len(words) / len(lines), 1),
         "common_share": round(sum(w in known for w in words) / len(words), 3) if words else 0.0,
@@ -128,7 +140,7 @@ def measure(text: str | None, known) -> dict | None:
         "n_lines": len(lines),
         "n_dense": dense,
         "item_share": round(items / len(lines), 3) if items >= 3 and not prose_like else 0.0,
-        "table_share": round(table, 3) if len(lines) > 1 else 0.0,
+        "table_share": round(table, 3),
     }
 
 
