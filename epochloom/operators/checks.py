@@ -49,3 +49,27 @@ def symmetric_difference(left: DataFrame, right: DataFrame, key: str) -> DataFra
     """(key, side) of the keys that only one of the two tables has."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def require_single(df: DataFrame, column: str, value=None) -> DataFrame:
+    """Rows of one value of a column: the given one, or the only one there is; else raise."""
+    if value is None:
+        found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(2).collect()]
+        if len(found) != 1:
+            raise ValueError(f"{column} has {'no value' if not found else 'several values'}; name one")
+        value = found[0]
+    chosen = df.where(F.col(column) == value)
+    if chosen.isEmpty():
+        raise ValueError(f"{column} has no rows of {value!r}")
+    return chosen
+
+
+def first_appearance(df: DataFrame, column: str, position: str) -> DataFrame:
+    """Distinct values of a column in the order in which they first appear by ``position``."""
+    return df.groupBy(column).agg(F.min(position).alias("first_position")).orderBy("first_position", column)
+
+
+def read_figure_input(df: DataFrame, required: dict[str, str], label: str) -> DataFrame:
+    """The required columns of an exported table, cast to their types; cells that don't fit are NULL."""
+    require_columns(df, list(required), label)
+    return df.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in required.items()])

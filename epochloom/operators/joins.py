@@ -61,3 +61,22 @@ def montage(electrodes: DataFrame, label: str = "el_10_20", excluded: str = "Iz"
     """Electrodes of the analysis montage: labels ending in z, 1 or 2, or starting with PO, but not Iz."""
     c = F.col(label)
     return electrodes.where((c.endswith("z") | c.endswith("1") | c.endswith("2") | c.startswith("PO")) & (c != excluded))
+
+
+def attach_metadata(staged: DataFrame, epochs: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of staging rows with the metadata of their epoch (one row per key)."""
+    return join_null_safe(staged, epochs, keys, "left")
+
+
+def join_analyses(base: DataFrame, tables: list[DataFrame], keys: list[str] = EPOCH_KEYS) -> DataFrame:
+    """Chain of left joins that adds each analysis' columns to the base grid, one row per key."""
+    for df in tables:
+        base = base.join(df, keys, "left")
+    return base
+
+
+def subtract_baseline(values: DataFrame, baseline: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Values minus the baseline of their key; rows without a baseline are left out."""
+    renamed = baseline.select(*keys, *[F.col(c).alias(f"_base_{c}") for c in columns])
+    joined = values.join(renamed, keys)
+    return joined.withColumns({c: F.col(c) - F.col(f"_base_{c}") for c in columns}).drop(*[f"_base_{c}" for c in columns])

@@ -63,6 +63,42 @@ def spectra(df: DataFrame, keys: list[str], signal: str, frequency: float, secon
     return wide.select(*keys, F.explode(F.arrays_zip("f", "p")).alias("z")).select(*keys, F.col("z.f").alias("frequency_hz"), F.col("z.p").alias("power"))
 
 
+#: What extract_features() can compute, with the columns each analysis gives.
+ANALYSES = {
+    "bandpower": [f"bp_rel_{b}" for b in kernels.BANDS],
+    "aperiodic": ["specparam_offset", "specparam_exponent", "specparam_r2", "specparam_error"],
+    "staging": [f"yasa_eeg_{n}" for n in ("std", "iqr", "skew", "kurt", "nzc", "hmob", "hcomp", *kernels.STAGING_BANDS, "dt", "ds", "db", "at", "abspow", "perm", "higuchi", "petrosian")],
+    "series": [f"series_{n}" for n in sorted(kernels.series_features(np.sin(np.arange(64.0))[None, :]))],
+}
+
+
+def extract_features(df: DataFrame, keys: list[str], signal: str, frequency: float, analyses: list[str], range_hz: tuple[float, float] = (1.0, 45.0)) -> DataFrame:
+    """All chosen analyses of every signal in one pass: (keys, feature columns, status).
+
+    The Welch spectrum is computed once for band power and the aperiodic fit. status is 'ok', or 'no_signal'
+    for a row whose signal is NULL, shorter than two samples or incomplete.
+    """
+    unknown = [a for a in analyses if a not in ANALYSES]
+    if unknown:
+        raise ValueError(f"unknown analyses {unknown}")
+    names = [n for a in dict.fromkeys(analyses) for n in ANALYSES[a]]
+
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        out: dict[str, np.ndarray] = {"_seen": np.ones(len(x))}
+        if {"bandpower", "aperiodic"} & set(analyses):
+            f, p = kernels.welch(x, frequency)
+            out |= {f"bp_rel_{k}": v for k, v in kernels.band_powers(f, p).items()}
+            out |= {f"specparam_{k}": v for k, v in kernels.aperiodic(f, p, *range_hz).items()} if "aperiodic" in analyses else {}
+        if "staging" in analyses:
+            out |= {f"yasa_eeg_{k}": v for k, v in kernels.staging_features(x, frequency).items()}
+        if "series" in analyses:
+            out |= {f"series_{k}": v for k, v in kernels.series_features(x).items()}
+        return out
+
+    wide = signal_features(df, keys, signal, [*names, "_seen"], kernel)
+    return wide.select(*keys, *names, F.when(F.col("_seen").isNotNull(), "ok").otherwise("no_signal").alias("status"))
+
+
 # Array expressions that stay in the JVM.
 
 

@@ -482,3 +482,57 @@ def category_composition(spark: SparkSession, folder: str) -> DataFrame:
     kept = long.groupBy("feature", "subject").agg(F.avg("x").alias("m")).where("m > 0.2")
     kinds = F.create_map(*[F.lit(v) for f in FEATURES for v in (f, "band power" if f.startswith("bp_") else "aperiodic" if f.startswith("specparam_") else "staging")])
     return kept.groupBy(kinds[F.col("feature")].alias("category")).agg(F.count(F.lit(1)).alias("n_significant"))
+
+
+@query(f"WITH {H}, a AS (SELECT subject, condition, experimental_label, stager, recording_id, block_id, epoch, {each('avg({c}) AS {c}', PROBS)} FROM h WHERE electrode IS NOT NULL GROUP BY ALL) SELECT recording_id, block_id, epoch, stager, {each('round({c}, 10) AS {c}', PROBS)} FROM a")
+def electrode_average(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hyp(spark, folder).where("electrode IS NOT NULL")
+    means = rows.groupBy("subject", "condition", "experimental_label", "stager", "recording_id", "block_id", "epoch").agg(*[F.avg(p).alias(p) for p in PROBS])
+    return rounded(means.select("recording_id", "block_id", "epoch", "stager", *PROBS), *PROBS, digits=10)
+
+
+@query(f"""WITH {H}, {_RATED}, b AS (SELECT subject, stager, avg(prob_w) AS base FROM h WHERE experimental_label = 'before' GROUP BY ALL),
+m AS (SELECT o.rating_id, r.subject, o.stager, sum(o.prob_w * o.overlap) / sum(o.overlap) AS prob_w FROM o JOIN r USING (rating_id) GROUP BY ALL)
+SELECT rating_id, stager, round(prob_w - base, 7) AS prob_w FROM m JOIN b USING (subject, stager)""")
+def overlap_minus_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = _rated(spark, folder)[1]
+    means = pairs.groupBy("rating_id", "subject", "stager").agg((F.sum(F.col("prob_w") * F.col("overlap")) / F.sum("overlap")).alias("prob_w"))
+    base = hyp(spark, folder).where("experimental_label = 'before'").groupBy("subject", "stager").agg(F.avg("prob_w").alias("prob_w"))
+    return rounded(joins.subtract_baseline(means, base, ["subject", "stager"], ["prob_w"]).select("rating_id", "stager", "prob_w"), "prob_w", digits=7)
+
+
+@query("""WITH m AS (SELECT recording_id, block_id, epoch_in_block AS epoch, min(absolute_start) AS epoch_start, bool_or(break_before) AS breaks FROM epoch_metadata GROUP BY ALL)
+SELECT h.row_id, m.epoch_start, m.breaks FROM hypnodensities h LEFT JOIN m USING (recording_id, block_id, epoch)""")
+def attach_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    meta = table(spark, folder, "epoch_metadata").groupBy("recording_id", "block_id", F.col("epoch_in_block").alias("epoch")).agg(F.min("absolute_start").alias("epoch_start"), F.bool_or("break_before").alias("breaks"))
+    staged = table(spark, folder, "hypnodensities").select("row_id", "recording_id", "block_id", "epoch")
+    return joins.attach_metadata(staged, meta, ["recording_id", "block_id", "epoch"]).select("row_id", "epoch_start", "breaks")
+
+
+@query(f"""WITH {FT}, b AS (SELECT DISTINCT recording_id, block_id, epoch, electrode FROM f), s AS (SELECT recording_id, block_id, epoch, electrode, count(*) AS n_frequencies, max(power) FILTER (power > 0 AND NOT isinf(power)) AS top_power FROM spectra WHERE power IS NOT NULL AND NOT isnan(power) GROUP BY ALL)
+SELECT recording_id, block_id, epoch, electrode, bp_rel_alpha, specparam_exponent, n_frequencies, top_power FROM b LEFT JOIN f USING (recording_id, block_id, epoch, electrode) LEFT JOIN s USING (recording_id, block_id, epoch, electrode)""")
+def join_analyses(spark: SparkSession, folder: str) -> DataFrame:
+    base = feats(spark, folder).select(*joins.EPOCH_KEYS).distinct()
+    power = F.when((F.col("power") > 0) & (F.col("power") != float("inf")), F.col("power"))
+    spectral = clean_table(spark, folder, "spectra").where("power IS NOT NULL").groupBy(*joins.EPOCH_KEYS).agg(F.count(F.lit(1)).alias("n_frequencies"), F.max(power).alias("top_power"))
+    return joins.join_analyses(base, [feats(spark, folder).select(*joins.EPOCH_KEYS, "bp_rel_alpha", "specparam_exponent"), spectral])
+
+
+@query("WITH r AS (SELECT DISTINCT recording_id, block_id, run_id, start_time, signal FROM continuous_runs WHERE signal IS NOT NULL) SELECT recording_id, block_id, sum(len(signal))::INTEGER AS n_values, count(*) AS n_runs, string_agg(run_id, ';' ORDER BY start_time, run_id) AS runs FROM r GROUP BY ALL")
+def block_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of a block's runs in order of time, as one array (a block is bounded by its recording)."""
+    rows = table(spark, folder, "continuous_runs").where("signal IS NOT NULL").select("recording_id", "block_id", "run_id", "start_time", "signal").distinct()
+    joined = rows.groupBy("recording_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("start_time", "run_id", "signal"))).alias("r"))
+    whole = joined.withColumn("s", F.flatten(F.transform("r", lambda x: x["signal"])))
+    return whole.select("recording_id", "block_id", F.size("s").alias("n_values"), F.size("r").cast("long").alias("n_runs"), F.array_join(F.transform("r", lambda x: x["run_id"]), ";").alias("runs"))
+
+
+@query("SELECT stage, min(row_id) AS first_position FROM hypnodensities GROUP BY 1")
+def first_appearance(spark: SparkSession, folder: str) -> DataFrame:
+    return checks.first_appearance(table(spark, folder, "hypnodensities"), "stage", "row_id")
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n_events FROM events GROUP BY ALL")
+def json_properties(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.from_json("props", "k int")["k"].alias("k")
+    return table(spark, folder, "events").groupBy("event_type", k).agg(F.count(F.lit(1)).alias("n_events"))

@@ -233,3 +233,9 @@ def stream_periods(spark: SparkSession, folder: str) -> DataFrame:
     tolerance = pieces.select("key", F.lit(6.0).alias("tolerance")).distinct()
     merged = intervals.merge_intervals(pieces, "key", "start_ms", "end_ms", tolerance)
     return merged.where("kind = 'period'").select(F.col("key").alias("recording_id"), "start_ms", "end_ms")
+
+
+@query()
+def extract_features(spark: SparkSession, folder: str) -> DataFrame:
+    """All analyses of every signal in one pass over it."""
+    return signals.extract_features(_signals(spark, folder), ["vec_id"], "x", RATE, list(signals.ANALYSES), (0.5, 8.0))
