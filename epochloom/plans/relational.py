@@ -493,12 +493,12 @@ def electrode_average(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {H}, {_RATED}, b AS (SELECT subject, stager, avg(prob_w) AS base FROM h WHERE experimental_label = 'before' GROUP BY ALL),
 m AS (SELECT o.rating_id, r.subject, o.stager, sum(o.prob_w * o.overlap) / sum(o.overlap) AS prob_w FROM o JOIN r USING (rating_id) GROUP BY ALL)
-SELECT rating_id, stager, round(prob_w - base, 7) AS prob_w FROM m JOIN b USING (subject, stager)""")
+SELECT rating_id, stager, round(prob_w - base, 11) AS prob_w FROM m JOIN b USING (subject, stager)""")
 def overlap_minus_baseline(spark: SparkSession, folder: str) -> DataFrame:
     pairs = _rated(spark, folder)[1]
     means = pairs.groupBy("rating_id", "subject", "stager").agg((F.sum(F.col("prob_w") * F.col("overlap")) / F.sum("overlap")).alias("prob_w"))
     base = hyp(spark, folder).where("experimental_label = 'before'").groupBy("subject", "stager").agg(F.avg("prob_w").alias("prob_w"))
-    return rounded(joins.subtract_baseline(means, base, ["subject", "stager"], ["prob_w"]).select("rating_id", "stager", "prob_w"), "prob_w", digits=7)
+    return rounded(joins.subtract_baseline(means, base, ["subject", "stager"], ["prob_w"]).select("rating_id", "stager", "prob_w"), "prob_w", digits=11)
 
 
 @query("""WITH m AS (SELECT recording_id, block_id, epoch_in_block AS epoch, min(absolute_start) AS epoch_start, bool_or(break_before) AS breaks FROM epoch_metadata GROUP BY ALL)
