@@ -13,11 +13,12 @@ MICROS = 1_000_000
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Ratings with the hypnodensity epoch whose middle is nearest, at most 45 seconds away."""
-    seconds = F.lit(840) + 60 * F.nanvl("timepoint", F.lit(None))
+    seconds = F.lit(840) + 60 * F.col("timepoint")
+    whole = lambda c, unit: F.when(F.abs(c) < 9e12, F.round(c * unit).cast("long"))  # noqa: E731  NULL for NaN and infinity
     ratings = table(spark, folder, "ratings").select(
-        "rating_id", F.upper(F.regexp_replace("subject", r"^\s+|\s+$", "")).alias("subject"), "session", F.round(seconds * MICROS).cast("long").alias("at")
+        "rating_id", F.upper(F.regexp_replace("subject", r"^\s+|\s+$", "")).alias("subject"), "session", whole(seconds, MICROS).alias("at")
     )
-    start, end = (F.round(F.nanvl(c, F.lit(None)) * 1000).cast("long") for c in ("absolute_start", "absolute_end"))
+    start, end = (whole(F.col(c), 1000) for c in ("absolute_start", "absolute_end"))
     epochs = (
         table(spark, folder, "hypnodensities").select("subject", "session", start.alias("start_ms"), end.alias("end_ms"))
         .where("start_ms IS NOT NULL AND end_ms IS NOT NULL").select("subject", "session", "start_ms", ((F.col("start_ms") + F.col("end_ms")) * 500).alias("at"))

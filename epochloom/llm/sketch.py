@@ -269,7 +269,7 @@ def percentiles(sketches: DataFrame, groups: list[str], shape: Shape, fractions:
     """(groups, n_values, q, value, rank_error) per group; groups without values have no rows.
 
     ``value`` is within the resolution 2**-bits * (high - low) of a value whose rank is off by at most
-    ``rank_error`` * n_values (three standard deviations).
+    ``rank_error`` * n_values (three standard deviations). Groups come back as strings.
     """
     return _inverted(sketches, shape, fractions).select(*_unkeyed(groups), "n_values", "q", "value", "rank_error")
 
@@ -280,7 +280,7 @@ def exact_percentiles(df: DataFrame, value: str, groups: list[str], shape: Shape
     The sketch brackets each percentile; a second pass counts what lies below the bracket and selects the
     wanted rank among the few values inside by a radix descent. ``exact`` is the value at rank ceil(q * n),
     the least value of which at least q of all values are no larger. A bracket that misses its rank (as
-    three standard deviations may) is widened to all values of its group.
+    three standard deviations may) is widened to all values of its group. Groups keep their types.
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(_key_struct(groups).alias("key"), (v + F.lit(0.0)).alias("v"))
@@ -303,4 +303,5 @@ def exact_percentiles(df: DataFrame, value: str, groups: list[str], shape: Shape
     if not missed.isEmpty():
         everything = found.join(missed.select("key").distinct(), "key", "left_semi").withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
         first = first.unionByName(selected(everything).join(missed, ["key", "q"], "left_semi"))
-    return found.join(first, ["key", "q"]).select(*_unkeyed(groups), "n_values", "q", "value", "rank_error", "exact")
+    typed = [c.cast(df.schema[g].dataType).alias(g) for c, g in zip(_unkeyed(groups), groups, strict=True)]
+    return found.join(first, ["key", "q"]).select(*typed, "n_values", "q", "value", "rank_error", "exact")
