@@ -99,7 +99,8 @@ _PIECES_ARROW = pa.schema([("key", pa.string()), ("bucket", pa.int64()), ("kind"
 
 
 def to_ms(seconds: Column) -> Column:
-    return F.round(seconds * 1000).cast("long")
+    """Whole milliseconds; NULL for NaN, infinite and absurdly large times."""
+    return F.when(F.abs(seconds) < 9e15, F.round(seconds * 1000).cast("long"))
 
 
 def merge_intervals(df: DataFrame, key: str, start_ms: str, end_ms: str, tolerance: DataFrame | None = None, bucket_ms: int = BUCKET_MS) -> DataFrame:

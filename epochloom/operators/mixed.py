@@ -136,6 +136,18 @@ def fit_mixed_models(
     return stats.groupBy(*strata, "outcome").applyInPandas(solve, schema)
 
 
+def spline_terms(name: str, x: Column, knots: list[float], degree: int = 3) -> dict[str, Column]:
+    """Fixed effects of a smooth curve in x: its powers and one truncated power per knot.
+
+    They span the splines of that degree with these knots; x is scaled by the largest knot to keep the
+    cross-products in range.
+    """
+    scale = max(map(abs, knots), default=1.0) or 1.0
+    z = x / scale
+    powers = {f"{name}^{k}": F.pow(z, F.lit(float(k))) for k in range(1, degree + 1)}
+    return powers | {f"{name}>{k:g}": F.pow(F.greatest(z - k / scale, F.lit(0.0)), F.lit(float(degree))) for k in knots}
+
+
 def chi_square_tail(x: float, df: int) -> float:
     """Upper tail of the chi-square distribution, by the series or the continued fraction of the gamma function."""
     if x <= 0:

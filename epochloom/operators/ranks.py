@@ -24,7 +24,8 @@ def average_rank(value: Column, partition: list[str]) -> Column:
 def adjust_pvalues(df: DataFrame, p: str, families: list[str], method: str = "fdr_bh", out: str = "p_adjusted") -> DataFrame:
     """Benjamini-Hochberg or Bonferroni adjustment within each family; NULL and NaN p stay NULL.
 
-    One row is one test, so a family is as large as the result table of its tests.
+    One row is one test, so a family is as large as the result table of its tests. Without families all
+    tests are one, which Spark sorts in one task.
     """
     clean = F.when(~F.isnan(F.col(p)), F.col(p))
     n = F.count(F.col("_p")).over(Window.partitionBy(*families))

@@ -20,12 +20,12 @@ def _frequency_tolerance(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Continuous periods, gaps, and runs that begin inside a period, per recording."""
     timed = table(spark, folder, "epoch_metadata").select(
-        "recording_id", intervals.to_ms(F.nanvl("absolute_start", F.lit(None))).alias("start_ms"), intervals.to_ms(F.nanvl("absolute_end", F.lit(None))).alias("end_ms")
+        "recording_id", intervals.to_ms(F.col("absolute_start")).alias("start_ms"), intervals.to_ms(F.col("absolute_end")).alias("end_ms")
     )
     tolerance = _frequency_tolerance(spark, folder)
     found = cut(intervals.merge_intervals(timed, "recording_id", "start_ms", "end_ms", tolerance))
     runs = table(spark, folder, "continuous_runs").select(
-        F.col("recording_id").alias("key"), intervals.to_ms(F.nanvl("start_time", F.lit(None))).alias("start_ms"), intervals.to_ms(F.nanvl("end_time", F.lit(None))).alias("end_ms")
+        F.col("recording_id").alias("key"), intervals.to_ms(F.col("start_time")).alias("start_ms"), intervals.to_ms(F.col("end_time")).alias("end_ms")
     ).distinct()
     inside = intervals.starts_inside(runs, found.where("kind = 'period'"), tolerance).select("key", F.lit("inside").alias("kind"), "start_ms", "end_ms")
     return found.unionByName(inside).withColumnRenamed("key", "recording_id")

@@ -121,7 +121,8 @@ SELECT channel_set, string_agg(coalesce(l.el_10_20, e), '+' ORDER BY i) AS chann
 def channel_set_relabel(spark: SparkSession, folder: str) -> DataFrame:
     mapping = table(spark, folder, "electrodes").where("el_10_20 IS NOT NULL").agg(F.map_from_entries(F.collect_list(F.struct("electrode", "el_10_20"))).alias("m"))
     sets = table(spark, folder, "hypnodensities").select("channel_set").distinct()
-    return sets.join(mapping).select("channel_set", joins.relabel_set(F.col("channel_set"), F.col("m")).alias("channel_set_10_20"))
+    # The 64 electrodes of the table as one map, by a scalar subquery.
+    return sets.withColumn("m", mapping.scalar()).select("channel_set", joins.relabel_set(F.col("channel_set"), F.col("m")).alias("channel_set_10_20"))
 
 
 @query("WITH e AS (SELECT DISTINCT recording_id, block_id, epoch_in_block FROM epoch_metadata), c AS (SELECT DISTINCT recording_id, electrode FROM features) SELECT recording_id, electrode, count(*) AS n_cells FROM e JOIN c USING (recording_id) GROUP BY ALL")
@@ -291,8 +292,8 @@ def phase_bin_psd(spark: SparkSession, folder: str) -> DataFrame:
 def standardise_global(spark: SparkSession, folder: str) -> DataFrame:
     rows = feats(spark, folder).where("specparam_exponent IS NOT NULL")
     stats = rows.agg(F.avg("specparam_exponent").alias("m"), F.stddev_samp("specparam_exponent").alias("sd"))
-    # One row: the scalar aggregate is broadcast.
-    return rows.join(F.broadcast(stats)).select("recording_id", "block_id", "epoch", "electrode", F.round((F.col("specparam_exponent") - F.col("m")) / F.nullif("sd", F.lit(0.0)), 6).alias("z"))
+    m, sd = stats.select("m").scalar(), stats.select("sd").scalar()
+    return rows.select("recording_id", "block_id", "epoch", "electrode", F.round((F.col("specparam_exponent") - m) / F.nullif(sd, F.lit(0.0)), 6).alias("z"))
 
 
 # Pivot, unpivot

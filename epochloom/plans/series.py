@@ -225,8 +225,7 @@ def stream_periods(spark: SparkSession, folder: str) -> DataFrame:
     """Periods from a stream of epochs: streamed pieces per bucket, then merged across buckets."""
     path = f"{folder}/epoch_metadata.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-    ms = lambda c: F.round(F.nanvl(c, F.lit(None)) * 1000).cast("long")
-    rows = source.select(F.col("recording_id").alias("key"), ms("absolute_start").alias("start_ms"), ms("absolute_end").alias("end_ms"))
+    rows = source.select(F.col("recording_id").alias("key"), intervals.to_ms(F.col("absolute_start")).alias("start_ms"), intervals.to_ms(F.col("absolute_end")).alias("end_ms"))
     where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     periods.run_to_table(periods.stream_pieces(rows, 6.0), f"{where}/out", f"{where}/checkpoint")
     pieces = periods.latest(spark.read.parquet(f"{where}/out"))

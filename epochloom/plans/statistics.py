@@ -219,3 +219,11 @@ def rating_mixed_models(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "ratings").withColumn("subject", F.upper(F.trim("subject")))
     return mixed.fit_mixed_models(rows, ["intensity", "entity"], {"timepoint": F.col("timepoint")}, "subject", None, ())
 
+
+@query()
+def rating_time_splines(spark: SparkSession, folder: str) -> DataFrame:
+    """Does a cubic spline in time explain ratings better than a straight line, subject intercepts in both?"""
+    rows = table(spark, folder, "ratings").withColumn("subject", F.upper(F.trim("subject")))
+    curve = mixed.spline_terms("t", F.col("timepoint"), [10.0, 20.0, 30.0])
+    fit = lambda fixed: mixed.fit_mixed_models(rows, ["intensity", "entity"], fixed, "subject", None, ())
+    return mixed.likelihood_ratio(fit({"t": F.col("timepoint")}), fit(curve), ["outcome"], len(curve) - 1)

@@ -38,6 +38,8 @@ def rows(columns, data):
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     got = df.collect()
     if name not in registry.SQL:
         assert df.columns
@@ -50,3 +52,23 @@ def test_query(spark, duck, name):
 
 def test_names():
     assert set(registry.SQL) <= set(registry.QUERIES) and registry.FLAGSHIP in registry.QUERIES
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_scans_are_pruned_and_pushed(spark):
+    plan = plan_of(registry.QUERIES["filtered_sums"](spark, FOLDER))
+    assert "EqualTo(stager,gssc)" in plan and "IsNotNull(electrode)" in plan
+    assert "loaded_at" not in plan and "el_10_20" not in plan
+    plan = plan_of(registry.QUERIES["electrode_variance"](spark, FOLDER))
+    assert "loaded_at" not in plan and "continuous_run_id" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_changes_shuffle_once_per_grouping(spark):
+    """Rows are made distinct, then grouped by entity: no join of the table with itself."""
+    plan = plan_of(registry.QUERIES["within_changes"](spark, FOLDER))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2

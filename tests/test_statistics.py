@@ -144,7 +144,7 @@ def test_mixed_models_on_planted(planted):
     r = {x["term"]: x for x in fits.collect()}
     assert r["t:a"]["estimate"] == pytest.approx(0.105, abs=0.005) and r["t:a"]["status"] == "ok" and r["t:a"]["n_used"] == 288
     few = mixed.fit_mixed_models(planted.limit(4), ["prob_w"], {"a": after}, strata=("stager",)).first()
-    assert few["status"] == "too_few_observations" and few["estimate"] is None or few["estimate"] != few["estimate"]
+    assert few["status"] == "too_few_observations" and (few["estimate"] is None or few["estimate"] != few["estimate"])
     same = mixed.fit_mixed_models(planted, ["prob_w"], {"a": after, "b": after}, strata=("stager",)).first()
     assert same["status"] == "fit_failed"
 
@@ -203,3 +203,13 @@ def test_windows(spark):
     r = df.select("g", "t", windows.zscore(F.col("v"), ["g"]).alias("z"), windows.trailing_mean(F.col("v"), ["g"], ["t"]).alias("m"), windows.triangular_mean(F.col("v"), ["g"], ["t"], 3).alias("s"), windows.robust_scale(F.col("v"), ["g"]).alias("r"), windows.even_offsets(["g"], ["t"]).alias("o")).orderBy("g", "t").collect()
     assert r[5]["m"] == 3.5 and r[0]["s"] == pytest.approx(1 / 3) and r[2]["s"] == pytest.approx(2.0)
     assert r[6]["z"] is None and r[6]["r"] is None and r[6]["o"] == 0.0 and r[0]["o"] == -0.5 and r[5]["o"] == 0.5
+
+
+def test_spline_beats_line_on_a_curve(spark):
+    rng = random.Random(9)
+    rows = [(f"S{s}", float(t), math.sin(t / 3) + 0.1 * s + rng.gauss(0, 0.1)) for s in range(6) for t in range(20)]
+    df = spark.createDataFrame(rows, "subject string, t double, y double")
+    line = mixed.fit_mixed_models(df, ["y"], {"t": F.col("t")}, strata=())
+    curve = mixed.spline_terms("t", F.col("t"), [5.0, 10.0, 15.0])
+    r = mixed.likelihood_ratio(line, mixed.fit_mixed_models(df, ["y"], curve, strata=()), ["outcome"], len(curve) - 1).first()
+    assert r["statistic"] > 100 and r["p_value"] < 1e-10 and r["delta_aic"] < -50
