@@ -60,6 +60,8 @@ def plan_of(df):
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 def test_scans_are_pruned_and_pushed(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "200")
     plan = plan_of(registry.QUERIES["filtered_sums"](spark, FOLDER))
     assert "EqualTo(stager,gssc)" in plan and "IsNotNull(electrode)" in plan
     assert "loaded_at" not in plan and "el_10_20" not in plan
