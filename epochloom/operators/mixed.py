@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 
 def _profile(theta1: float, theta2: float, n: np.ndarray, s: np.ndarray, ss: np.ndarray, subject: np.ndarray, n_subjects: int):
-    """Log-likelihood at given variance ratios, with coefficients, noise variance and information."""
+    """Log-likelihood at given variance ratios, with coefficients, noise variance and information.
+
+    n and s are counts and sums per component, ss the cross-products of all rows."""
     d = 1 + n * theta2
-    z = ss.sum(axis=0) - np.einsum("e,ei,ej->ij", theta2 / d, s, s)
+    z = ss - (s * (theta2 / d)[:, None]).T @ s
     u = np.zeros((n_subjects, s.shape[1]))
     np.add.at(u, subject, s / d[:, None])
     w = np.bincount(subject, weights=n / d, minlength=n_subjects)
-    z -= np.einsum("s,si,sj->ij", theta1 / (1 + theta1 * w), u, u)
+    z -= (u * (theta1 / (1 + theta1 * w))[:, None]).T @ u
     logdet = np.log(d).sum() + np.log1p(theta1 * w).sum()
     a, b, c = z[:-1, :-1], z[:-1, -1], z[-1, -1]
     beta = np.linalg.solve(a, b)
@@ -31,7 +33,7 @@ def _profile(theta1: float, theta2: float, n: np.ndarray, s: np.ndarray, ss: np.
     return -0.5 * (total * math.log(2 * math.pi * sigma2) + logdet + total), beta, sigma2, a
 
 
-def _golden(f, low: float, high: float, rounds: int = 60) -> float:
+def _golden(f, low: float, high: float, rounds: int = 45) -> float:
     g = (math.sqrt(5) - 1) / 2
     a, b = high - g * (high - low), low + g * (high - low)
     fa, fb = f(a), f(b)
@@ -50,6 +52,7 @@ def _golden(f, low: float, high: float, rounds: int = 60) -> float:
 def fit(n: np.ndarray, s: np.ndarray, ss: np.ndarray, subject: np.ndarray, nested: bool) -> dict:
     """Maximise over the two variance ratios, by turns on a logarithmic scale; 0 is tried as well."""
     codes, subject = np.unique(subject, return_inverse=True)
+    ss = ss.sum(axis=0)
     theta = [1.0, 1.0 if nested else 0.0]
     at = lambda t: _profile(t[0], t[1], n, s, ss, subject, len(codes))
     best, converged = -math.inf, False

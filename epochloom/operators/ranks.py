@@ -16,9 +16,12 @@ EXACT_PAIRS = 50
 
 
 def average_rank(value: Column, partition: list[str]) -> Column:
-    """Rank from 1 within the partition, equal values sharing the mean of their ranks."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, value))
-    return F.rank().over(Window.partitionBy(*partition).orderBy(value)) + (ties - 1) / 2
+    """Rank from 1 within the partition, equal values sharing the mean of their ranks.
+
+    The mean of the first and the last rank of the equal values; both come from one sort.
+    """
+    w = Window.partitionBy(*partition).orderBy(value)
+    return (F.rank().over(w) + F.count(F.lit(1)).over(w)) / 2
 
 
 def adjust_pvalues(df: DataFrame, p: str, families: list[str], method: str = "fdr_bh", out: str = "p_adjusted") -> DataFrame:
@@ -114,10 +117,11 @@ def correlation_matrix(df: DataFrame, left: list[str], right: list[str], groups:
     (groups, left, right, method, n_used, n_missing, correlation, enough): pairs with a missing side
     are left out before ranking; below ``least`` pairs, or without variance, the correlation is NULL.
     """
-    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
-    cells = df.select(*groups, F.explode(F.array(*[F.struct(F.lit(a).alias("left"), finite(a).alias("x")) for a in left])).alias("l"), F.array(*[F.struct(F.lit(b).alias("right"), finite(b).alias("y")) for b in right]).alias("rs"))
-    long = cells.select(*groups, "l.*", F.explode("rs").alias("r")).select(*groups, "left", "x", "r.*")
-    cell = [*groups, "left", "right"]
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double"))
+    # Columns go by number until the end: short sort keys for the rank windows.
+    cells = df.select(*groups, F.posexplode(F.array(*[finite(a) for a in left])).alias("_l", "x"), F.array(*[finite(b) for b in right]).alias("_rs"))
+    long = cells.select(*groups, "_l", "x", F.posexplode("_rs").alias("_r", "y"))
+    cell = [*groups, "_l", "_r"]
     full = F.col("x").isNotNull() & F.col("y").isNotNull()
     parts = []
     for method in methods:
@@ -128,7 +132,9 @@ def correlation_matrix(df: DataFrame, left: list[str], right: list[str], groups:
             rows = rows.withColumns({"x": F.col("rx"), "y": F.col("ry")})
         used = F.count(F.when(full, 1))
         parts.append(rows.groupBy(*cell).agg(used.alias("n_used"), (F.count(F.lit(1)) - used).alias("n_missing"), F.when(used >= least, safe_corr("x", "y")).alias("correlation")).withColumn("method", F.lit(method)))
-    return reduce(DataFrame.unionByName, parts).withColumn("enough", F.col("n_used") >= least)
+    name = lambda names, c: F.get(F.array(*[F.lit(n) for n in names]), F.col(c))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select(*groups, name(left, "_l").alias("left"), name(right, "_r").alias("right"), "n_used", "n_missing", "correlation", "method", (F.col("n_used") >= least).alias("enough"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

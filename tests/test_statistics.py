@@ -131,7 +131,7 @@ def test_mixed_profile_equals_dense():
     n, sums, ss = np.array([len(i) for i in pick], float), np.stack([z[i].sum(axis=0) for i in pick]), np.stack([z[i].T @ z[i] for i in pick])
     subject = np.array([a for a, _ in cells])
     for t1, t2 in ((0.0, 0.0), (0.7, 0.2), (3.0, 0.0)):
-        ll, beta, *_ = mixed._profile(t1, t2, n, sums, ss, subject, 5)
+        ll, beta, *_ = mixed._profile(t1, t2, n, sums, ss.sum(axis=0), subject, 5)
         want, b = dense_loglik(y, x, s, e, t1, t2)
         assert ll == pytest.approx(want) and np.allclose(beta, b)
     best = mixed.fit(n, sums, ss, subject, True)
