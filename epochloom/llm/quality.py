@@ -34,6 +34,7 @@ _SCRIPTS = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]"
 _IDEOGRAM = regex.compile(_SCRIPTS)
 _TOKEN = regex.compile(rf"(?V1){_SCRIPTS}|[\p{{L}}--{_SCRIPTS}][[\p{{L}}\p{{M}}]--{_SCRIPTS}]*")
 _SYMBOL, _DIGIT, _INVISIBLE = regex.compile(r"[^\p{L}\p{M}\p{N}\s]"), regex.compile(r"\p{Nd}"), regex.compile(r"\p{Cf}+")
+_ACCENT = regex.compile(r"[\u0300-\u036f]+")
 _MISREAD = regex.compile(r"[\x80-\x9f]|[ÃÐÑãåæ][\x80-\xbf]")
 _TAG = regex.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _MARK = regex.compile(r"^\s*(?:[-*+•–—·▪◦‣○●►→]|\[[ xX✓✔]?\]|[☐☑☒✓✔]|\(?\d{1,4}[.)]|\(?\p{L}[.)]|\(?[ivxIVX]{1,5}[.)]|§\s?\d+|[①-⑳])\s+")
@@ -60,8 +61,12 @@ def repair(text: str) -> str:
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case words of a repaired text, mark-up tags left out; ideograms count one by one."""
-    return _TOKEN.findall(_TAG.sub(" ", text).lower())
+    """Lower-case words of a repaired text without accents, mark-up tags left out; ideograms one by one."""
+    text = _TAG.sub(" ", text).lower()
+    if not text.isascii():
+        # Strayed accents are damage to a word, not another word.
+        text = unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFD", text)))
+    return _TOKEN.findall(text)
 
 
 def _can_be_word(token: str) -> bool:
@@ -106,6 +111,9 @@ def measure(text: str | None, known) -> dict | None:
     if not lines or not dense:
         return None
     words = tokens(text)
+    # The last word may be cut short; if nobody knows it, it speaks neither for nor against the text.
+    end = text.rstrip()
+    cut_off = len(words[-1]) + len(end) - len(end.rstrip(".")) if words and words[-1] not in known else 0
     table = table_share(lines)
     clean = [_TRAILING.sub("", line) for line in lines]
     ended = [bool(_END.search(line)) for line in clean]
@@ -136,7 +144,7 @@ def measure(text: str | None, known) -> dict | None:
         "end_share": 0.0 if is_table else round(sum(ended) / len(lines), 3),
         "words_per_line": round(len(words) / len(lines), 1),
         "common_share": round(sum(w in known for w in words) / len(words), 3) if words else 0.0,
-        "readable_share": round(min(1.0, sum(len(w) for w in words if w in known) / dense), 3),
+        "readable_share": round(min(1.0, sum(len(w) for w in words if w in known) / max(dense - cut_off, 1)), 3),
         "n_lines": len(lines),
         "n_dense": dense,
         "item_share": round(items / len(lines), 3) if items >= 3 and not prose_like else 0.0,

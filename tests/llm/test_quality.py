@@ -2,8 +2,8 @@ import random
 
 from epochloom.llm import quality as q
 
-WORDS = {"the", "old", "ferry", "opens", "quiet", "house", "near", "station", "we", "see", "it", "and", "then", "go", "home", "red", "blue", "lamp", "door", "night", "nurse"}
-PROSE = ["The old ferry opens the quiet house.", "We see it and then go home!\nThe old ferry opens near the station.", "- We see it.\n- Then we go home.", "It", None, "", "   \n ", "The red lamp\n\nThe old ferry opens the door. We see it.\n\n- the lamp\n\n- the door\n\nThen we go home. We see the night nurse."]
+WORDS = {"the", "what", "old", "ferry", "opens", "quiet", "house", "near", "station", "we", "see", "it", "and", "then", "go", "home", "red", "blue", "lamp", "door", "night", "nurse"}
+PROSE = ["The old ferry opens the quiet house.", "We see it and then go home!\nThe old ferry opens near the station.", "- We see it.\n- Then we go home.", "It", "What happ…", "We panneau…", "Thé óld férry opéns it.", "The old ferry op", None, "", "   \n ", "The red lamp\n\nThe old ferry opens the door. We see it.\n\n- the lamp\n\n- the door\n\nThen we go home. We see the night nurse."]
 LISTS = ["- the old ferry\n- the red lamp\n- the blue door\n- the house", "the old ferry\nthe red lamp\nthe blue door\nthe house", "The house:\n1. The red lamp (3)\n2. The door (4)\n3. The ferry (6)", "[x] the lamp x3\n[ ] the door x4\n[x] the ferry x5"]
 TABLES = ["the lamp;3.5;2\nthe door;1;7.25\nthe ferry;9;1", "| | kg | no. |\n|---|---|---|\n| the lamp | 3 | 4 |\n| the door | 5 | 6.1 |", "item,kg\nthe lamp,3.5\nthe door,7", "the lamp      3.5    2\nthe door      1      7", "lamp\t1\t2\ndoor\t3\t4\nhouse\t5\t6"]
 JUNK = ["#$%/ &*(@ !!~ ^^ %$#@ ++", "xkqzw pqrtz bbnmw zzkrt qqwpl", "aaaaaaaaaaaaaaaa\n----------------", "00000000  93 8a 1b e3 4a\n00000010  93 e8 3e a1 09", '{"ke":13,"qi":[19,62]};{"qi":5225}', '<div id="a1"></nav><br class="q9"></div>']
@@ -34,6 +34,7 @@ def test_kinds():
 def test_repair():
     assert q.repair("Ð\x94Ð°") == "Да" and q.repair("a​b") == "ab" and q.repair("ＡＢ") == "AB"
     assert q.tokens(q.repair("東京 Ab1c <b>x</b>")) == ["東", "京", "ab", "c", "x"]
+    assert q.tokens(q.repair("ガéñ 한")) == ["ガ", "en", "한"]
 
 
 def corpus(spark):
