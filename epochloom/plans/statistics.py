@@ -59,7 +59,7 @@ def treatment_effects(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_EFF} SELECT stager, contrast, delta_type, count(*) AS n_pairs, {each('round(avg({c}__effect), 5) AS {c}__mean_effect, count(*) FILTER ({c}__effect > 1e-9) AS {c}__n_up', PROBS)} FROM e GROUP BY ALL")
 def effect_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Flagship: means per label, changes, paired effects and their summary in one lazy plan."""
+    """Means per label, changes, paired effects and their summary in one lazy plan."""
     e = _effects(spark, folder, PROBS)
     return e.groupBy("stager", "contrast", "delta_type").agg(F.count(F.lit(1)).alias("n_pairs"), *[a for p in PROBS for a in (F.round(F.avg(f"{p}__effect"), 5).alias(f"{p}__mean_effect"), F.count(F.when(F.col(f"{p}__effect") > 1e-9, 1)).alias(f"{p}__n_up"))])
 
