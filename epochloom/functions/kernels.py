@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import insort
+from collections.abc import Callable
 
 import numpy as np
 
@@ -167,97 +169,122 @@ def autocorrelation(x: np.ndarray) -> np.ndarray:
         return np.where(r[:, :1] > 0, r / r[:, :1], np.nan)
 
 
-def _longest(flags: np.ndarray) -> np.ndarray:
-    """Longest stretch of True per row."""
-    best = now = np.zeros(len(flags), int)
-    for column in flags.T:
-        now = np.where(column, now + 1, 0)
-        best = np.maximum(best, now)
-    return best.astype(float)
-
-
 def _first(flags: np.ndarray) -> np.ndarray:
+    if not flags.shape[1]:
+        return np.zeros(len(flags))
     return np.where(flags.any(axis=1), flags.argmax(axis=1), flags.shape[1]).astype(float)
 
 
 def series_features(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Canonical time-series features of z-scored signals, one number per signal each.
+    """The 22 canonical time-series features (catch22) of z-scored signals, one number per signal each.
 
-    Covered: modes of two histograms, autocorrelation scales, extreme-event timing, stretches above the
-    mean and of decrease, time reversibility, large successive changes, local forecast error and its
-    change, low-frequency power and spectral centroid, motif entropy, transition variance, information
-    at lag two and its first minimum, embedding distance, detrended and range fluctuation, periodicity.
+    Thresholds, lags and outputs are the published ones. Every signal has its own lags, so its numbers don't
+    depend on the other rows. ``dfa`` and ``rs_range`` are scaling exponents over ten window sizes; the
+    published outputs of these two, the share of scales in the first of two linear regimes, are
+    ``dfa_prop`` and ``rs_range_prop``. Signals without spread give NaN, as do features that a signal is
+    too short for.
     """
     n = x.shape[1]
-    sd = x.std(axis=1, keepdims=True)
-    z = np.divide(x - x.mean(axis=1, keepdims=True), sd, out=np.full(x.shape, np.nan), where=sd > 0)
+    sd = x.std(axis=1, ddof=1, keepdims=True)
+    ok = np.isfinite(x).all(axis=1) & (x.max(axis=1) > x.min(axis=1)) & (sd[:, 0] > 0)
+    z = np.divide(x - x.mean(axis=1, keepdims=True), sd, out=np.zeros(x.shape), where=ok[:, None])
     out: dict[str, np.ndarray] = {}
-    ok = np.isfinite(z).all(axis=1)
-    z = np.where(ok[:, None], z, 0.0)
     for bins in (5, 10):
         lo, width = z.min(axis=1), (z.max(axis=1) - z.min(axis=1)) / bins
         code = np.clip(np.divide(z - lo[:, None], width[:, None], out=np.zeros_like(z), where=width[:, None] > 0).astype(int), 0, bins - 1)
         counts = np.stack([(code == b).sum(axis=1) for b in range(bins)], axis=1)
         top = counts == counts.max(axis=1, keepdims=True)
         out[f"mode_{bins}"] = lo + width * ((top * (np.arange(bins) + 0.5)).sum(axis=1) / top.sum(axis=1))
-    r = autocorrelation(z)
-    r = np.nan_to_num(r)
-    below = r < 1 / math.e
+    r = np.nan_to_num(autocorrelation(z))
+    first_zero = _first(r <= 0).astype(int)
+    below = r[:, : n - 1] < 1 / math.e
     k = below.argmax(axis=1).clip(1)
     rows = np.arange(len(z))
     a, b = r[rows, k - 1], r[rows, k]
     out["acf_timescale"] = np.where(below.any(axis=1), k - 1 + (a - 1 / math.e) / np.where(a > b, a - b, 1), n)
-    out["acf_first_min"] = _first((r[:, 1:-1] < r[:, :-2]) & (r[:, 1:-1] < r[:, 2:])) + 1
+    dip = (r[:, 1:-1] < r[:, :-2]) & (r[:, 1:-1] < r[:, 2:])
+    out["acf_first_min"] = np.where(dip.any(axis=1), _first(dip) + 1, n)
     out["low_freq_power"], out["centroid_freq"] = _spectrum_shape(z)
     d = np.diff(z, axis=1)
     out["reversibility"] = (d**3).mean(axis=1)
-    out["high_fluctuation"] = (np.abs(d) > 0.04).mean(axis=1)
-    out["stretch_high"] = _longest(z > 0)
-    out["stretch_decreasing"] = _longest(d < 0)
-    forecast = z[:, 3:] - np.lib.stride_tricks.sliding_window_view(z, 3, axis=1)[:, :-1].mean(axis=2)
-    out["forecast_error"] = forecast.std(axis=1, ddof=1)
-    simple = np.diff(z, axis=1)
-    scale = _first(autocorrelation(z) <= 0)
-    out["whiten_timescale"] = _first(np.nan_to_num(autocorrelation(simple), nan=-1.0) <= 0) / np.where(scale > 0, scale, 1)
+    out["high_fluctuation"] = (np.abs(d) * 1000 > 40).mean(axis=1)
+    out["stretch_high"] = _stretch(z[:, :-1] - z.mean(axis=1, keepdims=True) > 0)
+    out["stretch_decreasing"] = _stretch(d < 0)
+    nothing = np.full(len(z), np.nan)
+    out["forecast_error"] = (z[:, 3:] - np.lib.stride_tricks.sliding_window_view(z, 3, axis=1)[:, :-1].mean(axis=2)).std(axis=1, ddof=1) if n > 4 else nothing
+    out["whiten_timescale"] = _first(np.nan_to_num(autocorrelation(d), nan=-1.0) <= 0) / np.where(first_zero > 0, first_zero, 1)
     for name, s in (("outlier_timing_pos", 1), ("outlier_timing_neg", -1)):
         out[name] = _extreme_timing(s * z)
-    third = np.stack([np.searchsorted(np.quantile(row, [1 / 3, 2 / 3]), row) for row in z]) if len(z) else np.zeros((0, n), int)
+    third = _thirds(z)
     out["motif_entropy"] = _code_entropy(third[:, :-1] * 3 + third[:, 1:], 9)
-    joint = np.stack([np.bincount(t[:-1] * 3 + t[1:], minlength=9).reshape(3, 3) / max(n - 1, 1) for t in third]) if len(z) else np.zeros((0, 3, 3))
-    out["transition_variance"] = np.array([np.trace(np.cov(m.T)) for m in joint])
-    information = np.stack([_lagged_information(z, lag) for lag in range(1, min(n // 2, 16))], axis=1)
-    out["ami2"] = information[:, 1]
-    out["ami_timescale"] = _first((information[:, 1:-1] < information[:, :-2]) & (information[:, 1:-1] < information[:, 2:])) + 2
-    lag = int(np.median(scale.clip(1, max(n // 10, 1)))) if len(z) else 1
-    step = np.hypot(np.diff(z[:, :-lag], axis=1), np.diff(z[:, lag:], axis=1))
-    mean = step.mean(axis=1, keepdims=True)
-    grid = np.linspace(0, 6, 13)
-    seen = np.stack([np.histogram(row, grid * m)[0] / max(len(row), 1) if m > 0 else np.zeros(12) for row, m in zip(step, mean[:, 0], strict=True)]) if len(z) else np.zeros((0, 12))
-    out["embedding_dist"] = np.abs(seen - (np.exp(-grid[:-1]) - np.exp(-grid[1:]))).mean(axis=1)
+    out["transition_variance"] = _by_lag(z, first_zero, _transition_variance)
+    out["embedding_dist"] = _by_lag(z, np.where(first_zero > n / 10, n // 10, first_zero), _embedding_distance)
+    out["ami2"] = _histogram_information(z, 2) if n > 2 else nothing
+    out["ami_timescale"] = _information_minimum(z)
     out["dfa"], out["rs_range"] = _fluctuation(z, True), _fluctuation(z, False)
-    peaks = (r[:, 1:-1] > r[:, :-2]) & (r[:, 1:-1] > r[:, 2:]) & (r[:, 1:-1] > 0.01)
-    out["periodicity"] = np.where(peaks.any(axis=1), peaks.argmax(axis=1) + 1, 0).astype(float)
+    out["dfa_prop"], out["rs_range_prop"] = _first_regime(z, 2, True), _first_regime(z, 1, False)
+    out["periodicity"] = _periodicity(z)
     return {name: np.where(ok, v, np.nan) for name, v in out.items()}
 
 
+def _by_lag(z: np.ndarray, lags: np.ndarray, f: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """``f`` of the rows of each lag together."""
+    out = np.full(len(z), np.nan)
+    for lag in np.unique(lags):
+        out[lags == lag] = f(z[lags == lag], int(lag))
+    return out
+
+
+def _stretch(flags: np.ndarray) -> np.ndarray:
+    """Longest way from one False, or the first place, to the next False or the last place."""
+    n = flags.shape[1]
+    best, since = np.zeros(len(flags), int), np.zeros(len(flags), int)
+    for i in range(n):
+        stop = ~flags[:, i] | (i == n - 1)
+        best = np.where(stop, np.maximum(best, i - since), best)
+        since = np.where(stop, i, since)
+    return best.astype(float)
+
+
+def _thirds(z: np.ndarray) -> np.ndarray:
+    """0, 1 or 2 by the row's own tertiles."""
+    low, high = np.quantile(z, [1 / 3, 2 / 3], axis=1, method="hazen")
+    return (z > low[:, None]).astype(int) + (z > high[:, None])
+
+
 def _spectrum_shape(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = np.abs(np.fft.rfft(z, axis=1)) ** 2
-    total = p.sum(axis=1, keepdims=True)
-    p = np.divide(p, total, out=np.zeros_like(p), where=total > 0)
-    w = np.linspace(0, math.pi, p.shape[1])
-    return p[:, : max(p.shape[1] // 5, 1)].sum(axis=1), w[(np.cumsum(p, axis=1) >= 0.5).argmax(axis=1)]
+    """Power in the lowest fifth of the frequencies, and the angular frequency that halves the power."""
+    n = z.shape[1]
+    size = 1 << (n - 1).bit_length()
+    p = np.abs(np.fft.rfft(z - z.mean(axis=1, keepdims=True), size, axis=1)) ** 2 / n
+    p[:, 1:-1] *= 2
+    total = np.cumsum(p, axis=1)
+    return p[:, : p.shape[1] // 5].sum(axis=1) / size, 2 * math.pi / size * (total > total[:, -1:] / 2).argmax(axis=1)
 
 
 def _extreme_timing(z: np.ndarray) -> np.ndarray:
-    """Median position, in [-1, 1], of samples above rising thresholds."""
+    """Median over thresholds 0, 0.01, ... of the median place, in (-1, 1], of the samples that reach them.
+
+    Thresholds go on to the maximum, but end where 2 % of the samples that aren't negative, or a single one, are left.
+    """
     n = z.shape[1]
-    place = np.arange(1, n + 1) / (n / 2) - 1
-    found = []
-    for level in np.arange(0, 3, 0.25):
-        over = z >= level
-        found.append(np.array([np.median(place[o]) if o.sum() > 1 else np.nan for o in over]))
-    grid = np.stack(found, axis=1) if len(z) else np.zeros((0, 1))
-    return np.array([np.median(g[np.isfinite(g)]) if np.isfinite(g).any() else 0.0 for g in grid])
+    out = np.zeros(len(z))
+    for i, row in enumerate(z):
+        order = np.argsort(-row, kind="stable")
+        values = row[order]
+        if not values[0] >= 0.01:
+            continue
+        reach = n - np.searchsorted(values[::-1], np.arange(int(values[0] / 0.01 + 1)) * 0.01, "left")
+        reach = reach[reach > 0]
+        enough, single = np.flatnonzero((reach - 1) * 100.0 / reach[0] > 2), np.flatnonzero(reach == 1)
+        last = min(enough[-1] if len(enough) else 0, single[0] if len(single) else len(reach) - 1)
+        places: list[int] = []
+        middle = np.empty(reach[0] + 1)
+        for count, place in enumerate(order[: reach[0]].tolist(), 1):
+            insort(places, place + 1)
+            middle[count] = (places[count // 2] + places[(count - 1) // 2]) / 2
+        out[i] = np.median(middle[reach[: last + 1]] / (n / 2) - 1)
+    return out
 
 
 def _code_entropy(code: np.ndarray, size: int) -> np.ndarray:
@@ -269,13 +296,64 @@ def _code_entropy(code: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _transition_variance(z: np.ndarray, lag: int) -> np.ndarray:
+    """Summed variances of the columns of the transition matrix between tertiles of every ``lag``-th sample."""
+    if lag < 1 or lag >= z.shape[1]:
+        return np.full(len(z), np.nan)
+    third = _thirds(z[:, ::lag])
+    joint = np.stack([np.bincount(t[:-1] * 3 + t[1:], minlength=9).reshape(3, 3) / (third.shape[1] - 1) for t in third])
+    return joint.var(axis=1, ddof=1).sum(axis=1)
+
+
+def _embedding_distance(z: np.ndarray, lag: int) -> np.ndarray:
+    """Mean difference between the histogram of steps in the plane (z, z ``lag`` later) and an exponential law."""
+    step = np.diff(z, axis=1)
+    step = np.hypot(step[:, : step.shape[1] - lag], step[:, lag:])
+    m = step.shape[1]
+    out = np.full(len(z), np.nan)
+    if m < 2:
+        return out
+    for i, row in enumerate(step):
+        mean, sd, low, high = row.mean(), row.std(ddof=1), row.min(), row.max()
+        bins = math.ceil((high - low) / (3.5 * sd / m ** (1 / 3))) if sd >= 0.001 else 0
+        if not bins:
+            out[i] = 0.0
+            continue
+        width = (high - low) / bins
+        counts = np.bincount(np.clip((row - low) / width, 0, bins - 1).astype(int), minlength=bins)
+        out[i] = np.abs(counts / m - np.exp(-(low + width * (np.arange(bins) + 0.5)) / mean) / mean).mean()
+    return out
+
+
+def _histogram_information(z: np.ndarray, lag: int, bins: int = 5) -> np.ndarray:
+    """Information between a series and itself ``lag`` later, from a histogram of even bins with a margin of 0.1."""
+    low = z.min(axis=1, keepdims=True) - 0.1
+    width = (z.max(axis=1, keepdims=True) + 0.1 - low) / bins
+    code = np.clip(np.floor((z - low) / width).astype(int), 0, bins - 1)
+    pair = code[:, :-lag] * bins + code[:, lag:]
+    joint = np.array([np.bincount(row, minlength=bins**2) for row in pair]).reshape(len(z), bins, bins) / pair.shape[1]
+    apart = joint.sum(axis=2, keepdims=True) * joint.sum(axis=1, keepdims=True)
+    ratio = np.divide(joint, apart, out=np.ones_like(joint), where=joint > 0)
+    return (joint * np.log(ratio)).sum(axis=(1, 2))
+
+
 def _lagged_information(z: np.ndarray, lag: int) -> np.ndarray:
     """Information between a series and itself ``lag`` later, if both were jointly normal."""
     a, b = z[:, :-lag], z[:, lag:]
     a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
     norm = np.sqrt((a**2).sum(axis=1) * (b**2).sum(axis=1))
     c = np.divide((a * b).sum(axis=1), norm, out=np.zeros(len(z)), where=norm > 0)
-    return -0.5 * np.log(np.clip(1 - c**2, 1e-12, None))
+    return -0.5 * np.log(np.clip(1 - c**2, 1e-300, None))
+
+
+def _information_minimum(z: np.ndarray) -> np.ndarray:
+    """Place (from 0, of lag 1) of the first minimum of lagged information up to lag 40 or half the length; the number of lags if none."""
+    most = min(40, -(-z.shape[1] // 2))
+    if most < 3:
+        return np.full(len(z), float(most))
+    v = np.stack([_lagged_information(z, lag) for lag in range(1, most + 1)], axis=1)
+    dip = (v[:, 1:-1] < v[:, :-2]) & (v[:, 1:-1] < v[:, 2:])
+    return np.where(dip.any(axis=1), dip.argmax(axis=1) + 1, most).astype(float)
 
 
 def _fluctuation(z: np.ndarray, detrend: bool) -> np.ndarray:
@@ -283,15 +361,72 @@ def _fluctuation(z: np.ndarray, detrend: bool) -> np.ndarray:
     y = np.cumsum(z, axis=1)
     n = z.shape[1]
     sizes = np.unique(np.logspace(math.log10(5), math.log10(max(n // 2, 6)), 10).astype(int))
+    sizes = sizes[sizes <= n]
+    if len(sizes) < 2:
+        return np.full(len(z), np.nan)
     logs = []
     for s in sizes:
-        w = y[:, : n // s * s].reshape(len(y), -1, s)
-        t = np.arange(s) - (s - 1) / 2
-        slope = (w * t).sum(axis=2, keepdims=True) / (t**2).sum()
-        rest = w - w.mean(axis=2, keepdims=True) - slope * t
+        rest = _detrended(y, s)
         f = np.sqrt((rest**2).mean(axis=(1, 2))) if detrend else (rest.max(axis=2) - rest.min(axis=2)).mean(axis=1)
         logs.append(np.log(np.maximum(f, 1e-300)))
-    return np.polyfit(np.log(sizes), np.stack(logs), 1)[0] if len(z) else np.zeros(0)
+    t, v = np.log(sizes) - np.log(sizes).mean(), np.stack(logs, axis=1)
+    return ((v - v.mean(axis=1, keepdims=True)) * t).sum(axis=1) / (t**2).sum()
+
+
+def _detrended(y: np.ndarray, size: int) -> np.ndarray:
+    """Whole windows of ``size`` samples (rows x windows x samples) without their straight lines."""
+    w = y[:, : y.shape[1] // size * size].reshape(len(y), y.shape[1] // size, size)
+    t = np.arange(size) - (size - 1) / 2
+    slope = (w * t).sum(axis=2, keepdims=True) / (t**2).sum()
+    return w - w.mean(axis=2, keepdims=True) - slope * t
+
+
+def _first_regime(z: np.ndarray, lag: int, detrend: bool, steps: int = 50, least: int = 6) -> np.ndarray:
+    """Share of window sizes in the first of the two straight lines that fit log fluctuation best; 0 under 12 sizes."""
+    n = z.shape[1]
+    if n < 10:
+        return np.zeros(len(z))
+    sizes = np.unique(np.floor(np.exp(np.linspace(math.log(5), math.log(n // 2), steps)) + 0.5).astype(int))
+    count = len(sizes)
+    if count < 2 * least:
+        return np.zeros(len(z))
+    y = np.cumsum(z[:, ::lag][:, : n // lag], axis=1)
+    logs = np.empty((len(z), count))
+    for i, s in enumerate(sizes):
+        rest = _detrended(y, int(s))
+        f = (rest**2).mean(axis=(1, 2)) if detrend else ((rest.max(axis=2) - rest.min(axis=2)) ** 2).mean(axis=1)
+        logs[:, i] = np.log(np.maximum(f, 1e-300)) / 2
+    at = np.log(sizes)
+
+    def misfit(part: slice) -> np.ndarray:
+        t, v = at[part] - at[part].mean(), logs[:, part] - logs[:, part].mean(axis=1, keepdims=True)
+        return np.sqrt(((v - (v * t).sum(axis=1, keepdims=True) / (t**2).sum() * t) ** 2).sum(axis=1))
+
+    wrong = np.stack([misfit(slice(0, i)) + misfit(slice(i - 1, count)) for i in range(least, count - least + 1)], axis=1)
+    return (wrong.argmin(axis=1) + least) / count
+
+
+def _periodicity(z: np.ndarray) -> np.ndarray:
+    """Place (from 0, of lag 1) of the first positive peak of the autocovariance that is 0.01 above the trough before it.
+
+    The trend, a cubic spline of two pieces, is taken off first; lags go up to a third of the length. 0 if no peak.
+    """
+    n = z.shape[1]
+    t = np.linspace(0, 1, n)
+    knot = t[max(n // 2 - 1, 0)]
+    basis = np.linalg.qr(np.stack([np.ones(n), t, t**2, t**3, np.maximum(t - knot, 0) ** 3], axis=1))[0]
+    rest = z.copy()
+    for column in basis.T:
+        rest -= (rest * column).sum(axis=1, keepdims=True) * column
+    most = -(-n // 3)
+    cov = np.stack([(rest[:, : n - lag] * rest[:, lag:]).mean(axis=1) for lag in range(1, most + 1)], axis=1)
+    slope = np.diff(cov, axis=1)
+    out, trough = np.zeros(len(z)), np.full(len(z), np.nan)
+    for i in range(1, most - 1):
+        trough = np.where((slope[:, i - 1] < 0) & (slope[:, i] > 0), cov[:, i], trough)
+        peak = (slope[:, i - 1] > 0) & (slope[:, i] < 0) & (cov[:, i] - trough >= 0.01) & (cov[:, i] >= 0)
+        out = np.where(peak & (out == 0), i, out)
+    return out
 
 
 def bandpass(x: np.ndarray, frequency: float, low: float | None, high: float | None) -> np.ndarray:

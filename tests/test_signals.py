@@ -98,3 +98,74 @@ def test_predictors_and_qc(spark):
     staged = spark.createDataFrame([("r", "x", "gssc", e) for e in range(6)], "recording_id string, block_id string, stager string, epoch int")
     qc = {(r["block_id"], r["stager"]): r["status"] for r in staging.staging_qc(epochs, staged, ["GSSC", "yasa", "gssc", "none"], {"gssc", "yasa"}, 5).collect()}
     assert qc == {("x", "gssc"): "ok", ("x", "yasa"): "failed", ("x", "none"): "not_configured", ("y", "gssc"): "insufficient_epochs", ("y", "yasa"): "unsupported_single_epoch", ("y", "none"): "not_configured"}
+
+
+def test_series_features_of_a_signal_alone_and_in_a_batch():
+    rng = np.random.default_rng(1)
+    noise = rng.normal(size=(20, 64))
+    x = np.concatenate([noise, np.cumsum(noise, axis=1), np.sin(np.arange(64) * rng.uniform(0.05, 2, (20, 1))) + 0.1 * noise])
+    mixed = k.series_features(x)
+    for i in range(len(x)):
+        alone = k.series_features(x[i : i + 1])
+        assert all(alone[name][0] == v[i] or np.isnan(alone[name][0]) and np.isnan(v[i]) for name, v in mixed.items())
+    assert all(len(v) == 1 for n in (2, 3, 5, 9) for v in k.series_features(noise[:1, :n]).values())
+
+
+def test_series_features_follow_their_definitions():
+    """Each against its definition written as plain loops over one signal."""
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=120), np.cumsum(rng.normal(size=121)), np.sin(np.arange(200) / 3) + 0.2 * rng.normal(size=200), rng.standard_t(2, size=90)):
+        n = len(x)
+        y = (x - x.mean()) / x.std(ddof=1)
+        got = {name: v[0] for name, v in k.series_features(x[None, :]).items()}
+        acf = [sum(y[i] * y[i + lag] for i in range(n - lag)) for lag in range(n)]
+        zero = next(lag for lag in range(n) if acf[lag] <= 0)
+
+        low, step = y.min() - 0.1, (y.max() - y.min() + 0.2) / 5
+        joint = np.zeros((5, 5))
+        for i in range(n - 2):
+            joint[int((y[i] - low) / step), int((y[i + 2] - low) / step)] += 1 / (n - 2)
+        ami = sum(joint[i, j] * np.log(joint[i, j] / joint[i].sum() / joint[:, j].sum()) for i in range(5) for j in range(5) if joint[i, j] > 0)
+        assert got["ami2"] == pytest.approx(ami)
+
+        lags = min(40, -(-n // 2))
+        info = [-0.5 * np.log(1 - np.corrcoef(y[: n - lag], y[lag:])[0, 1] ** 2) for lag in range(1, lags + 1)]
+        assert got["ami_timescale"] == next((i for i in range(1, lags - 1) if info[i] < info[i - 1] and info[i] < info[i + 1]), lags)
+
+        thin = y[::zero]
+        label = np.searchsorted(np.quantile(thin, [1 / 3, 2 / 3], method="hazen"), thin)
+        moves = np.zeros((3, 3))
+        for a, b in zip(label[:-1], label[1:], strict=True):
+            moves[a, b] += 1 / (len(thin) - 1)
+        assert got["transition_variance"] == pytest.approx(np.trace(np.cov(moves.T)))
+
+        for name, w in (("outlier_timing_pos", y), ("outlier_timing_neg", -y)):
+            middles, shares, alone = [], [], []
+            for level in range(int(w.max() / 0.01 + 1)):
+                over = np.flatnonzero(w >= level * 0.01) + 1
+                middles.append(np.median(over) / (n / 2) - 1)
+                shares.append((len(over) - 1) * 100 / (w >= 0).sum())
+                alone.append(len(over) == 1)
+            last = min(max(i for i, s in enumerate(shares) if s > 2), alone.index(True) if any(alone) else len(alone) - 1)
+            assert got[name] == pytest.approx(np.median(middles[: last + 1]))
+
+        lag = min(zero, n // 10)
+        d = np.array([np.hypot(y[i + 1] - y[i], y[i + lag + 1] - y[i + lag]) for i in range(n - lag - 1)])
+        counts, edges = np.histogram(d, int(np.ceil(np.ptp(d) / (3.5 * d.std(ddof=1) / len(d) ** (1 / 3)))))
+        law = np.exp(-(edges[1:] + edges[:-1]) / 2 / d.mean()) / d.mean()
+        assert got["embedding_dist"] == pytest.approx(np.abs(counts / len(d) - law).mean())
+
+        runs = "".join("x" if v > 0 else " " for v in y[:-1])
+        assert got["stretch_high"] - max(map(len, runs.split())) in (0, 1)  # counted from the sample before
+        for name, rest, every in (("dfa_prop", lambda w: (w**2).mean(), 2), ("rs_range_prop", lambda w: np.ptp(w) ** 2, 1)):
+            sizes = sorted({int(np.exp(np.log(5) + i * (np.log(n // 2) - np.log(5)) / 49) + 0.5) for i in range(50)})
+            walk = np.cumsum(y[::every][: n // every])
+            logs = []
+            for s in sizes:
+                parts = [walk[j * s : j * s + s] for j in range(len(walk) // s)]
+                logs.append(np.log(np.sqrt(np.mean([rest(p - np.polyval(np.polyfit(np.arange(s), p, 1), np.arange(s))) for p in parts]))))
+            t, v = np.log(sizes), np.array(logs)
+            wrong = [sum(np.linalg.norm(v[c] - np.polyval(np.polyfit(t[c], v[c], 1), t[c])) for c in (slice(0, i), slice(i - 1, None))) for i in range(6, len(t) - 5)]
+            assert got[name] == pytest.approx((np.argmin(wrong) + 6) / len(t))
+    wave = k.series_features(np.sin(2 * np.pi * np.arange(240) / 24)[None, :])
+    assert wave["periodicity"][0] == 23 and 0 <= wave["low_freq_power"][0] <= 1  # lag 24, counted from lag 1
