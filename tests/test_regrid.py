@@ -75,3 +75,27 @@ def test_spans_agree_with_one_piece_and_uncertainty_grows(spark):
 
 def test_empty(spark):
     assert grid(spark, [], []).count() == 0
+
+
+def test_gaps_longer_than_spans_equal_one_piece(spark):
+    """Gaps over several spans, over an edge, and a source far from zero in tiny units."""
+    rng = random.Random(5)
+    readings = [("a", t, 5e-6 * (40 + t / 500 + rng.gauss(0, 1))) for t in (rng.uniform(1234, 30_000) for _ in range(1500)) if not 4000 < t < 14_000 and not 17_600 < t < 18_300]
+    readings += [("b", t, 1e6 + rng.gauss(0, 1)) for t in (5.0, 7.0, 20.0, 9000.0)]
+    one = {(r["key"], r["cell"]): r for r in grid(spark, readings, [], span_cells=10_000).collect()}
+    for cells in (20, 360):
+        many = {(r["key"], r["cell"]): r for r in grid(spark, readings, [], span_cells=cells, margin_cells=3).collect()}
+        assert one.keys() == many.keys()
+        for key, unit in (("a", 5e-6), ("b", 1.0)):
+            mine = [c for c in one if c[0] == key]
+            ratio = many[mine[0]]["sd"] / one[mine[0]]["sd"]
+            assert key == "b" or 0.5 < ratio < 2
+            assert max(abs(one[c]["value"] - many[c]["value"]) for c in mine) < 1e-2 * unit
+            assert max(abs(many[c]["sd"] / one[c]["sd"] / ratio - 1) for c in mine) < 1e-3
+    middle = one[("a", 900)]
+    assert 4e-5 < middle["value"] < 1e-3 and middle["sd"] > 10 * one[("a", 300)]["sd"]
+
+
+def test_infinite_readings_stay_out(spark):
+    out = {r["cell"]: r for r in grid(spark, [("a", 5.0, 1.0), ("a", 15.0, float("inf")), ("a", 25.0, 1.2), ("a", 35.0, 1.1), ("b", 5.0, float("inf"))], []).where("key = 'a'").collect()}
+    assert out[1]["kind"] == "observed" and all(0.9 < r["value"] < 1.3 for r in out.values())
