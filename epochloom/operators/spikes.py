@@ -8,8 +8,9 @@ update withheld, so that a spike doesn't move the forecast.
 Bounds that make the flags a superset of what the exact check asks for: the gain never exceeds
 K = P / (P + 1) = 0.0104 with P = Q / (1 - PHI^2), so |d| <= K * 4 * 1.005 / (1 - PHI) = 0.42. A reading
 further than 12 MAD = 8.09 spreads off the median has an innovation of at least 7.7 > 4.02: flagged.
-Five equal readings in a row have innovations within 0.34 of each other, thus a variance under 0.03:
-a vanishing innovation variance marks every stuck run. The exact rules then decide among the flagged.
+Five equal readings in a row have innovations, before they are standardised, within 0.34 of each other
+however far they are off, thus a variance under 0.03: a vanishing innovation variance marks every stuck
+run. The exact rules then decide among the flagged.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ WHOLE_SOURCE_ROWS = 500_000
 _BATCH_ROWS = 60_000
 
 
-def kalman_innovations(z: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Standardised innovations of many series at once; ``z`` holds them one after the other.
+def kalman_innovations(z: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Innovations of many series at once, standardised and as they are; ``z`` holds the series one after the other.
 
     Series advance in lockstep, longest first, so that each step is one vector operation.
     """
-    out = np.empty(len(z))
+    out, plain = np.empty(len(z)), np.empty(len(z))
     if not len(z):
-        return out
+        return out, plain
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     order = np.argsort(-lengths, kind="stable")
     begin, lengths = begin[order], lengths[order]
@@ -52,12 +53,12 @@ def kalman_innovations(z: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         s = p[:m] + 1
         e = z[at] - d[:m]
         nu = e / np.sqrt(s)
-        out[at] = nu
+        out[at], plain[at] = nu, e
         keep = np.abs(nu) <= THRESHOLD
         gain = np.where(keep, p[:m] / s, 0.0)
         d[:m] = PHI * (d[:m] + gain * np.where(keep, e, 0.0))
         p[:m] = PHI * PHI * (1 - gain) * p[:m] + Q
-    return out
+    return out, plain
 
 
 def _medians(values: np.ndarray, group: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,7 @@ def _judge(key_change: np.ndarray, same_reading: np.ndarray, y: np.ndarray, poss
         z = np.where(spread > 0, (y1[fine] - med[source[fine]]) / (1.4826 * spread), np.where(distance > 0, np.inf, 0.0))
     z = np.clip(np.nan_to_num(z, nan=0.0, posinf=1e9, neginf=-1e9), -1e9, 1e9)
     lengths = np.bincount(source[fine], minlength=n_sources)
-    nu = kalman_innovations(z, lengths[lengths > 0])
+    nu, plain = kalman_innovations(z, lengths[lengths > 0])
     innovation = np.full(len(y1), np.nan)
     innovation[fine] = nu
     spike = np.zeros(len(y1), bool)
@@ -103,7 +104,7 @@ def _judge(key_change: np.ndarray, same_reading: np.ndarray, y: np.ndarray, poss
     breaks[1:] = (source[1:] != source[:-1]) | (y1[1:] != y1[:-1])
     run = np.cumsum(breaks) - 1
     length = np.bincount(run)
-    low = _vanishing(nu, source[fine])
+    low = _vanishing(plain, source[fine])
     candidate = np.zeros(len(length), bool)
     candidate[run[fine[low]]] = True
     if halo is None:
@@ -131,15 +132,15 @@ def _leading(values, wanted: float) -> int:
     return n
 
 
-def _vanishing(nu: np.ndarray, source: np.ndarray) -> np.ndarray:
+def _vanishing(innovation: np.ndarray, source: np.ndarray) -> np.ndarray:
     """Positions within WINDOW innovations of one source whose variance vanishes."""
-    hit = np.zeros(len(nu), bool)
-    if len(nu) < WINDOW:
+    hit = np.zeros(len(innovation), bool)
+    if len(innovation) < WINDOW:
         return np.flatnonzero(hit)
-    w = np.lib.stride_tricks.sliding_window_view(nu, WINDOW)
+    w = np.lib.stride_tricks.sliding_window_view(innovation, WINDOW)
     low = (w.var(axis=1) < VANISHING) & (source[WINDOW - 1 :] == source[: -WINDOW + 1])
     for k in range(WINDOW):
-        hit[k : len(nu) - WINDOW + 1 + k] |= low
+        hit[k : len(innovation) - WINDOW + 1 + k] |= low
     return np.flatnonzero(hit)
 
 

@@ -88,3 +88,11 @@ def test_select_ranks(spark):
     got = {(r["g"], r["target"]): r["value"] for r in select_ranks(df, ["g"], "v", spark.createDataFrame(wanted, "g string, target int, rank long")).collect()}
     for g, k, r in wanted:
         assert got[(g, k)] == sorted(v for h, v in rows if h == g)[r - 1]
+
+
+def test_stuck_runs_far_from_the_median_of_small_sources(spark):
+    """Below 20 possible readings only the stuck rule applies; MAD 0, or tiny against the distance of the run."""
+    rows = [(i, "flat", float(i), 0.01) for i in range(8)] + [(20 + i, "flat", 20.0 + i, 0.9) for i in range(5)]
+    rows += [(40 + i, "tight", float(i), 0.01 + 1e-6 * (i % 5)) for i in range(12)] + [(60 + i, "tight", 20.0 + i, 0.9) for i in range(5)]
+    assert {*range(20, 25), *range(60, 65)} <= found(spark, rows)
+    assert found(spark, rows) == brute(rows)
