@@ -83,16 +83,60 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def _p9_scores(docs: DataFrame) -> DataFrame:
+    return quality.outlier_scores(quality.document_statistics(docs))
+
+
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Text statistics and the outlier score of every document."""
-    return quality.outlier_scores(quality.document_statistics(table(spark, folder, "documents")))
+    scored = _p9_scores(table(spark, folder, "documents")).drop("text_hash")
+    return scored.withColumns({c: F.round(c, 6) for c, t in scored.dtypes if t == "double"})
+
+
+def _p9_sql() -> str:
+    ideograms, least, tails = quality._IDEOGRAMS, quality.PRIOR_DOCUMENTS, []
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    for name, direction in quality.STATISTICS.items():
+        own, every = "PARTITION BY lang ORDER BY {c} {o} RANGE UNBOUNDED PRECEDING", "ORDER BY {c} {o} RANGE UNBOUNDED PRECEDING"
+        tail = lambda o: f"((count(*) OVER ({own.format(c=name, o=o)}) + {least} * count(*) OVER ({every.format(c=name, o=o)}) / n_all) / (n_lang + {least}))"  # noqa: B023, E731
+        both = f"least(1.0, 2 * least({tail('ASC')}, {tail('DESC')}))"
+        tails.append(f"pow(ln({tail('ASC') if direction == 'low' else tail('DESC') if direction == 'high' else both}), 2)")
+    count = lambda pattern: "len(regexp_extract_all(t, '" + pattern.replace("'", "''") + "'))"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, lang, hash(text) AS h, regexp_replace(regexp_replace(coalesce(text, ''), '{quality._BREAKS}', chr(10), 'g'), '\p{{Cf}}+', '', 'g') AS t FROM documents),
+f AS (SELECT *, row_number() OVER () AS row, list_filter(string_split_regex(regexp_replace(regexp_replace(strip_accents(lower(translate(t, '{wide}', '{narrow}'))), '</?[a-z][^<>\n]{{0,80}}>', ' ', 'g'),
+        '([{ideograms}])', ' \1 ', 'g'), '[^\p{{L}}\p{{M}}]+'), lambda x: len(x) > 0) AS words FROM d),
+u AS (SELECT lang, h, row, unnest(list_distinct(words)) AS word FROM f),
+n AS (SELECT lang, count(*) AS n FROM f WHERE len(words) > 0 GROUP BY lang),
+k AS (SELECT word FROM u JOIN n ON u.lang IS NOT DISTINCT FROM n.lang WHERE len(word) > 1 OR regexp_matches(word, '[{ideograms}]')
+      GROUP BY word, u.lang, n HAVING count(*) >= 1 + n / 10000 + sqrt(n) / 32 AND min(h) < max(h)),
+w AS (SELECT row, count(*) AS n_words, sum(len(word)) AS letters, sum(CASE WHEN known THEN 1 ELSE 0 END) AS n_known, sum(CASE WHEN known THEN len(word) ELSE 0 END) AS known_letters
+      FROM (SELECT row, word, word IN (SELECT word FROM k) AS known FROM (SELECT row, unnest(words) AS word FROM f)) GROUP BY row),
+m AS (
+  SELECT doc_id, lang, len(regexp_replace(t, '[\s\p{{Z}}]+', '', 'g')) AS n_dense, {count(quality._LINE)} AS n_lines, {count(quality._ENDED)} AS ended,
+         {count(quality._SYMBOL)} AS symbols, {count(quality._DIGIT)} AS digits, coalesce(n_words, 0) AS n_words, coalesce(letters, 0) AS letters,
+         coalesce(n_known, 0) AS n_known, coalesce(known_letters, 0) AS known_letters,
+         CASE WHEN len(words) > 0 AND words[-1] NOT IN (SELECT word FROM k) THEN len(words[-1]) ELSE 0 END AS cut_off, len(regexp_replace(t, '\s+$', '')) - len(rtrim(regexp_replace(t, '\s+$', ''), '.…')) AS dots
+  FROM f LEFT JOIN w USING (row)),
+s AS (
+  SELECT doc_id, lang, n_words, n_lines, n_dense, n_lines - ended AS open_lines, letters / greatest(n_words, 1) AS mean_word_length, symbols / n_dense AS symbol_ratio, digits / n_dense AS digit_ratio,
+         ended / greatest(n_lines, 1) AS end_share, (n_lines - ended) / (n_words + 1) AS open_ratio, n_words / greatest(n_lines, 1) AS words_per_line, n_known / greatest(n_words, 1) AS common_share,
+         CASE WHEN judged > 0 THEN least(1.0, known_letters / greatest(judged, 1)) ELSE 1.0 END AS readable_share, count(*) OVER (PARTITION BY lang) AS n_lang, count(*) OVER () AS n_all
+  FROM (SELECT *, n_dense - CASE WHEN cut_off BETWEEN 1 AND {quality.LONGEST_WORD} THEN cut_off + dots ELSE 0 END AS judged FROM m) WHERE n_dense > 0)
+SELECT doc_id, lang, n_words, n_lines, n_dense, open_lines, {", ".join(f"round({c}, 6) AS {c}" for c in ("mean_word_length", "symbol_ratio", "digit_ratio", "end_share", "open_ratio", "words_per_line", "common_share", "readable_share"))},
+       round({" + ".join(tails)}, 6) AS score FROM s
+UNION ALL SELECT doc_id, lang, {", ".join(["NULL"] * 12)}, 0.0 FROM m WHERE n_dense = 0
+"""
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are lists, tables or junk."""
-    return quality.judge(p9_scores(spark, folder))
+    docs = table(spark, folder, "documents")
+    return quality.judge(_p9_scores(docs), docs)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p5_percentiles, p5_exact, p5_combined, p7_ids, p8_mix, p8_shares, p9_found, p9_scores)}
 
-SQL = {"p2_found": P2_SQL, "p5_exact": P5_SQL}
+SQL = {"p2_found": P2_SQL, "p5_exact": P5_SQL, "p9_scores": _p9_sql()}
