@@ -100,26 +100,45 @@ REFERENCES = [
     ForeignKey("hypnodensities", "block_id", "blocks", "block_id"),
     ForeignKey("features", "block_id", "blocks", "block_id"),
 ]
-#: With the tables between blocks and epochs, so that orphanhood can be inherited.
+#: With the tables above and between these, so that orphanhood can be inherited over several steps.
 REFERENCE_GRAPH = [
     *REFERENCES,
+    ForeignKey("recordings", "subject", "subjects", "subject"),
+    ForeignKey("blocks", "recording_id", "recordings", "recording_id"),
+    ForeignKey("blocks", "subject", "subjects", "subject"),
+    ForeignKey("ratings", "subject", "subjects", "subject"),
     ForeignKey("continuous_runs", "block_id", "blocks", "block_id"),
     ForeignKey("epoch_metadata", "block_id", "blocks", "block_id"),
+    ForeignKey("epoch_metadata", "continuous_run_id", "continuous_runs", "run_id"),
     ForeignKey("features", "continuous_run_id", "continuous_runs", "run_id"),
     ForeignKey("hypnodensities", "continuous_run_id", "continuous_runs", "run_id"),
+    ForeignKey("features", "epoch_key", "epoch_metadata", "epoch_key"),
 ]
+DELETING = {"electrodes", "subjects", "blocks"}
+#: How many steps the SQL follows; the graph's longest path has as many references.
+LONGEST_PATH = 5
 
 
 def _entities(spark: SparkSession, folder: str, keys: list[ForeignKey]) -> dict[str, Entity]:
-    deleting = {"electrodes", "subjects", "blocks"}
     names = {fk.child for fk in keys} | {fk.parent for fk in keys}
-    return {n: Entity(table(spark, folder, n), "row_id", deleted_at="deleted_at" if n in deleting else None) for n in names}
+    found = {}
+    for name in names:
+        rows, row_id = table(spark, folder, name), {"ratings": "rating_id", "subjects": "subject", "recordings": "recording_id", "electrodes": "electrode", "blocks": "version"}.get(name, "row_id")
+        if name == "blocks":  # a block delivered twice is two rows
+            rows = rows.withColumn("version", F.concat_ws("@", "block_id", F.col("loaded_at").cast("string")))
+        epoch = {"features": "epoch", "epoch_metadata": "epoch_in_block"}.get(name)
+        if epoch:
+            rows = rows.withColumn("epoch_key", F.concat("block_id", F.lit("#"), F.col(epoch).cast("string")))
+        found[name] = Entity(rows, row_id, deleted_at="deleted_at" if name in DELETING else None)
+    return found
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Direct orphans of the dealt references, with month and reason."""
-    rows = orphans.orphan_cascade(_entities(spark, folder, REFERENCES), REFERENCES).where("depth = 0")
-    return rows.select("table_name", "field_name", "row_id", F.date_format("loaded_at", "yyyy-MM").alias("period"), "reason")
+    """Direct orphans of the dealt references, with month and reason: the first step of the cascade over them and all above them."""
+    keys = orphans.ancestors(REFERENCES, REFERENCE_GRAPH)
+    dealt = F.concat_ws(".", "table_name", "field_name").isin(*[f"{fk.child}.{fk.field}" for fk in REFERENCES])
+    rows = orphans.orphan_cascade(_entities(spark, folder, keys), keys).where(dealt & (F.col("depth") == 0))
+    return rows.select("table_name", "field_name", F.col("row_id").cast("long").alias("row_id"), F.date_format("loaded_at", "yyyy-MM").alias("period"), "reason")
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,22 +159,34 @@ WHERE c.{field} IS NOT NULL
 
 P4_SQL = " UNION ALL ".join(_p4_sql(fk.child, fk.field, fk.parent, f"x.deleted_at") for fk in REFERENCES)  # noqa: F541
 
-_P4_GRAPH_SQL = ",\n".join(
-    f"d{i} AS ({_p4_sql(fk.child, fk.field, fk.parent, 'x.deleted_at' if fk.parent != 'continuous_runs' else 'NULL')})" for i, fk in enumerate(REFERENCE_GRAPH)
-)
-P4_REPORT_SQL = f"""
-WITH {_P4_GRAPH_SQL},
-direct AS ({" UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(len(REFERENCE_GRAPH)))}),
-gone AS (SELECT run_id FROM continuous_runs WHERE run_id IS NOT NULL GROUP BY run_id
-         HAVING bool_and(row_id IN (SELECT row_id FROM direct WHERE table_name = 'continuous_runs'))),
-heirs AS (
-  SELECT 'features' AS table_name, 'continuous_run_id' AS field_name, row_id, strftime(loaded_at, '%Y-%m') AS period FROM features WHERE continuous_run_id IN (SELECT run_id FROM gone)
-  UNION ALL SELECT 'hypnodensities', 'continuous_run_id', row_id, strftime(loaded_at, '%Y-%m') FROM hypnodensities WHERE continuous_run_id IN (SELECT run_id FROM gone)),
-everything AS (
-  SELECT *, 0 AS depth FROM direct
-  UNION ALL SELECT h.*, 'inherited', 1 FROM heirs h ANTI JOIN direct d ON d.table_name = h.table_name AND d.field_name = h.field_name AND d.row_id = h.row_id)
-SELECT table_name, field_name, period, reason, depth, count(*) AS n_rows FROM everything GROUP BY ALL
-"""
+
+def _p4_report_sql() -> str:
+    """The cascade with one CTE per step, as many as the longest path has."""
+    ids = {"ratings": "rating_id", "subjects": "subject", "recordings": "recording_id", "electrodes": "electrode", "blocks": "block_id || '@' || CAST(loaded_at AS VARCHAR)"}
+    epochs = {"features": "epoch", "epoch_metadata": "epoch_in_block"}
+    names = sorted({fk.child for fk in REFERENCE_GRAPH} | {fk.parent for fk in REFERENCE_GRAPH})
+    tables = ", ".join(
+        f"t_{n} AS (SELECT *, CAST({ids.get(n, 'row_id')} AS VARCHAR) AS id{f', block_id || chr(35) || {epochs[n]} AS epoch_key' if n in epochs else ''}, {'deleted_at' if n in DELETING else 'CAST(NULL AS TIMESTAMP)'} AS gone_at FROM {n})" for n in names
+    )
+    direct = " UNION ALL ".join(
+        f"""SELECT '{k.child}' AS table_name, '{k.field}' AS field_name, c.id, c.loaded_at, CASE WHEN p.key IS NULL THEN 'missing' WHEN p.first > c.loaded_at THEN 'late' ELSE 'deleted' END AS reason, 0 AS depth
+        FROM t_{k.child} c LEFT JOIN (SELECT {k.key} AS key, min(loaded_at) AS first FROM t_{k.parent} GROUP BY 1) p ON p.key = c.{k.field}
+        WHERE c.{k.field} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_{k.parent} x WHERE x.{k.key} = c.{k.field} AND x.loaded_at <= c.loaded_at AND (x.gone_at IS NULL OR x.gone_at > c.loaded_at))"""
+        for k in REFERENCE_GRAPH
+    )
+    steps = [f"f0 AS MATERIALIZED ({direct})"]
+    for n in range(1, LONGEST_PATH + 1):
+        heirs = " UNION ALL ".join(
+            f"""SELECT DISTINCT '{k.child}' AS table_name, '{k.field}' AS field_name, c.id, c.loaded_at, 'inherited' AS reason, {n} AS depth FROM t_{k.child} c
+            WHERE c.{k.field} IN (SELECT {k.key} FROM t_{k.parent} p LEFT JOIN (SELECT id, min(depth) AS depth FROM f{n - 1} WHERE table_name = '{k.parent}' GROUP BY id) o USING (id) WHERE {k.key} IS NOT NULL GROUP BY 1 HAVING bool_and(o.id IS NOT NULL))
+              AND c.id NOT IN (SELECT id FROM f{n - 1} WHERE table_name = '{k.child}' AND field_name = '{k.field}')"""
+            for k in REFERENCE_GRAPH
+        )
+        steps.append(f"f{n} AS MATERIALIZED (SELECT * FROM f{n - 1} UNION ALL {heirs})")
+    return f"WITH {tables}, {', '.join(steps)} SELECT table_name, field_name, strftime(loaded_at, '%Y-%m') AS period, reason, depth, count(*) AS n_rows FROM f{LONGEST_PATH} GROUP BY ALL"
+
+
+P4_REPORT_SQL = _p4_report_sql()
 
 
 def _p6(spark: SparkSession, folder: str) -> DataFrame:
