@@ -41,14 +41,42 @@ FRACTIONS = [0.05, 0.25, 0.5, 0.75, 0.95]
 SHAPE = sketch.Shape()
 
 
+_P5_GROUPS = ["condition", "experimental_label"]
+
+
+def _p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    """(groups, prob_n1, deliveries) of every record: rows that differ in row_id and loaded_at only are one record."""
+    rows = table(spark, folder, "hypnodensities")
+    same = F.xxhash64(*[c for c in rows.columns if c not in ("row_id", "loaded_at")])
+    return rows.select(*_P5_GROUPS, "prob_n1", same.alias("record")).groupBy("record", *_P5_GROUPS, "prob_n1").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of prob_n1 per condition and label: by sketch, with its error bound, and exact."""
-    return sketch.exact_percentiles(table(spark, folder, "hypnodensities"), "prob_n1", ["condition", "experimental_label"], SHAPE, FRACTIONS)
+    """Percentiles of prob_n1 per condition and label, each with its error bound: sketches of every month added up, less those of
+    records delivered again."""
+    month = F.date_format("loaded_at", "yyyy-MM")
+    monthly = sketch.build_sketches(table(spark, folder, "hypnodensities").withColumn("month", month), "prob_n1", [*_P5_GROUPS, "month"], SHAPE)
+    again = _p5_records(spark, folder).where("deliveries > 1").withColumn("month", F.lit("again"))
+    deleted = sketch.build_sketches(again, "prob_n1", [*_P5_GROUPS, "month"], SHAPE, 1 - F.col("deliveries"))
+    return sketch.percentiles(sketch.merge_sketches(monthly.unionByName(deleted), sketch.drop_group(2, 2)), _P5_GROUPS, SHAPE, FRACTIONS)
+
+
+def p5_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the true rank of each percentile of p5_percentiles lies within its bound."""
+    return sketch.within_bounds(_p5_records(spark, folder), "prob_n1", _P5_GROUPS, p5_percentiles(spark, folder), SHAPE)
+
+
+P5_BOUNDS_SQL = """
+WITH r AS (SELECT DISTINCT * EXCLUDE (row_id, loaded_at) FROM hypnodensities),
+n AS (SELECT condition, experimental_label, count(*) AS n_values FROM r WHERE prob_n1 IS NOT NULL AND NOT isnan(prob_n1) GROUP BY ALL)
+SELECT condition, experimental_label, unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS q, n_values, true AS within FROM n
+"""
 
 
 def p5_exact(spark: SparkSession, folder: str) -> DataFrame:
-    """The exact percentiles that the sketches' brackets lead to."""
-    return p5_percentiles(spark, folder).select("condition", "experimental_label", "q", "n_values", "exact")
+    """The exact percentiles of all rows that the sketches' brackets lead to."""
+    rows = table(spark, folder, "hypnodensities")
+    return sketch.exact_percentiles(rows, "prob_n1", _P5_GROUPS, SHAPE, FRACTIONS).select(*_P5_GROUPS, "q", "n_values", "exact")
 
 
 P5_SQL = """
@@ -137,6 +165,6 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_p9_scores(docs), docs)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_percentiles, p5_exact, p5_combined, p7_ids, p8_mix, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_percentiles, p5_bounds, p5_exact, p5_combined, p7_ids, p8_mix, p8_shares, p9_found, p9_scores)}
 
-SQL = {"p2_found": P2_SQL, "p5_exact": P5_SQL, "p9_scores": _p9_sql()}
+SQL = {"p2_found": P2_SQL, "p5_bounds": P5_BOUNDS_SQL, "p5_exact": P5_SQL, "p9_scores": _p9_sql()}

@@ -4,7 +4,7 @@ A value in [low, high] is encoded as a whole number of BITS bits. For each binar
 one signed sketch (coarse resolutions, with no more nodes than a sketch has cells per row, are
 counted exactly). Sketches of partitions, days or months are added cell by cell, and subtracting a
 sketch deletes its rows. A percentile descends the resolutions, at each going left or right by the
-estimated count of the left child.
+estimated count of the left child. Values outside [low, high] are counted apart, so they keep their ranks.
 """
 
 from __future__ import annotations
@@ -46,9 +46,8 @@ class Shape:
         return self.offset(self.bits + 1)
 
     def encode(self, values: np.ndarray) -> np.ndarray:
-        """Order-preserving; values outside [low, high] fall into the first or last cell."""
-        top = 2**self.bits - 1
-        return np.clip((np.clip(values, self.low, self.high) - self.low) / (self.high - self.low) * 2**self.bits, 0, top).astype(np.int64)
+        """Order-preserving, for values within [low, high]."""
+        return np.minimum((values - self.low) / (self.high - self.low) * 2**self.bits, 2**self.bits - 1).astype(np.int64)
 
     def decode(self, code: np.ndarray) -> np.ndarray:
         return self.low + (code + 0.5) / 2**self.bits * (self.high - self.low)
@@ -68,9 +67,12 @@ class Shape:
 
 
 def sketch_values(shape: Shape, values: np.ndarray, group: np.ndarray, weight: np.ndarray, n_groups: int) -> np.ndarray:
-    """One sketch per group, as rows of a (groups, cells) array."""
-    out = np.zeros((n_groups, shape.cells), np.int64)
-    code = shape.encode(values)
+    """One sketch per group, as rows of a (groups, cells + 2) array; the last two count what lies below and above the range."""
+    out = np.zeros((n_groups, shape.cells + 2), np.int64)
+    for cell, outside in ((shape.cells, values < shape.low), (shape.cells + 1, values > shape.high)):
+        out[:, cell] = np.bincount(group[outside], weights=weight[outside], minlength=n_groups)
+    inside = (values >= shape.low) & (values <= shape.high)
+    group, weight, code = group[inside], weight[inside], shape.encode(values[inside])
     # Equal values of a group are one update with their summed weight.
     both, inverse = np.unique(group.astype(np.int64) << shape.bits | code, return_inverse=True)
     w = np.bincount(inverse, weights=weight)
@@ -104,15 +106,20 @@ def estimate(shape: Shape, sketch: np.ndarray, level: int, node: int) -> float:
 def invert(shape: Shape, sketch: np.ndarray, fractions: list[float]) -> tuple[int, list[float], float]:
     """Count, percentiles and a bound on the rank error (as a fraction of the count).
 
-    The percentile of fraction q is the value with rank ceil(q * n), at least 1. The bound is three
-    standard deviations of the estimates on the path, from each resolution's own second moment.
+    The percentile of fraction q is the value with rank ceil(q * n), at least 1; infinite where that rank lies
+    below or above the range. The bound is three standard deviations of the estimates on the path, from
+    each resolution's own second moment.
     """
-    n = int(sketch[0] + sketch[1])
+    inside, below, above = int(sketch[0] + sketch[1]), int(sketch[shape.cells]), int(sketch[shape.cells + 1])
+    n = inside + below + above
     if n <= 0:
         return 0, [], 0.0
     values = []
     for q in fractions:
-        rank, node, size = max(1.0, np.ceil(q * n)), 0, float(n)
+        rank, node, size = max(1.0, np.ceil(q * n)) - below, 0, float(inside)
+        if not 0 < rank <= inside:
+            values.append(float("-inf") if rank <= 0 else float("inf"))
+            continue
         for level in range(1, shape.bits + 1):
             left = min(max(estimate(shape, sketch, level, 2 * node), 0.0), size)
             if rank <= left:
@@ -225,14 +232,14 @@ def subtract_sketches(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _inverted(sketches: DataFrame, shape: Shape, fractions: list[float]) -> DataFrame:
-    """(key, n_values, q, value, rank_error, low, high) per group; groups without values have no rows.
+    """(key, n_values, n_outside, q, value, rank_error, low, high) per group; groups without values have no rows.
 
     ``value`` is within the resolution 2**-bits * (high - low) of a value whose rank is off by at most
     ``rank_error`` * n_values (three standard deviations); low and high are the values at ranks so far
     below and above.
     """
-    names = ["key", "n_values", "q", "value", "rank_error", "low", "high"]
-    out = pa.schema([("key", pa.string()), ("n_values", pa.int64()), *[(c, pa.float64()) for c in names[2:]]])
+    names = ["key", "n_values", "n_outside", "q", "value", "rank_error", "low", "high"]
+    out = pa.schema([("key", pa.string()), ("n_values", pa.int64()), ("n_outside", pa.int64()), *[(c, pa.float64()) for c in names[3:]]])
     cell = (shape.high - shape.low) / 2**shape.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +250,10 @@ def _inverted(sketches: DataFrame, shape: Shape, fractions: list[float]) -> Data
             n, values, error = invert(shape, whole, fractions)
             # Errors of the bracket's own ends count too; outside [low, high] anything may lie.
             ends = lambda side: invert(shape, whole, [min(max(q + side * 2 * error, 0.0), 1.0) for q in fractions])[1]
-            low = [-np.inf if v - cell <= shape.low else v - cell for v in ends(-1)]
-            high = [np.inf if v + cell >= shape.high else v + cell for v in ends(1)]
-            m = len(values)
-            return pa.RecordBatch.from_pydict(dict(zip(names, ([now] * m, [n] * m, fractions[:m], values, [error] * m, low, high), strict=True)), schema=out)
+            low = [-np.inf if v - cell <= shape.low else min(v - cell, shape.high) for v in ends(-1)]
+            high = [np.inf if v + cell >= shape.high else max(v + cell, shape.low) for v in ends(1)]
+            m, outside = len(values), int(whole[shape.cells :].sum())
+            return pa.RecordBatch.from_pydict(dict(zip(names, ([now] * m, [n] * m, [outside] * m, fractions[:m], values, [error] * m, low, high), strict=True)), schema=out)
 
         for batch in batches:
             for key, cells in zip(batch.column("key").to_pylist(), batch.column("cells"), strict=True):
@@ -258,7 +265,7 @@ def _inverted(sketches: DataFrame, shape: Shape, fractions: list[float]) -> Data
         if now is not None:
             yield done()
 
-    return sketches.repartition("key").sortWithinPartitions("key", "part").mapInArrow(run, "key string, n_values long, q double, value double, rank_error double, low double, high double")
+    return sketches.repartition("key").sortWithinPartitions("key", "part").mapInArrow(run, "key string, n_values long, n_outside long, q double, value double, rank_error double, low double, high double")
 
 
 def _unkeyed(groups: list[str]) -> list[Column]:
@@ -266,12 +273,29 @@ def _unkeyed(groups: list[str]) -> list[Column]:
 
 
 def percentiles(sketches: DataFrame, groups: list[str], shape: Shape, fractions: list[float]) -> DataFrame:
-    """(groups, n_values, q, value, rank_error) per group; groups without values have no rows.
+    """(groups, n_values, n_outside, q, value, rank_error) per group; groups without values have no rows.
 
     ``value`` is within the resolution 2**-bits * (high - low) of a value whose rank is off by at most
-    ``rank_error`` * n_values (three standard deviations). Groups come back as strings.
+    ``rank_error`` * n_values (three standard deviations); ``n_outside`` of the values lie outside
+    [low, high], and a percentile among them is infinite. Groups come back as strings.
     """
-    return _inverted(sketches, shape, fractions).select(*_unkeyed(groups), "n_values", "q", "value", "rank_error")
+    return _inverted(sketches, shape, fractions).select(*_unkeyed(groups), "n_values", "n_outside", "q", "value", "rank_error")
+
+
+def within_bounds(df: DataFrame, value: str, groups: list[str], found: DataFrame, shape: Shape) -> DataFrame:
+    """(groups, q, n_values, within): whether the rank ceil(q * n) of each percentile of ``found`` lies within its bound.
+
+    One pass over ``df`` counts per group how many values lie below and not above each percentile, give or
+    take the resolution; every group meets its percentiles as one row. Groups compare as strings.
+    """
+    cell = (shape.high - shape.low) / 2**shape.bits
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(_key_struct(groups).alias("key"), v.alias("v"))
+    per_key = found.select(_key_struct(groups).alias("key"), *groups, "q", "value", "rank_error").groupBy("key", *groups).agg(F.array_sort(F.collect_list(F.struct("q", "value", "rank_error"))).alias("ps"))
+    sides = F.transform("ps", lambda p: F.struct(p["q"].alias("q"), p["rank_error"].alias("rank_error"), (F.col("v") < p["value"] - cell).cast("int").alias("below"), (F.col("v") <= p["value"] + cell).cast("int").alias("upto")))
+    counted = rows.join(per_key, "key").select("key", *groups, F.explode(sides).alias("s")).groupBy("key", *groups, "s.q", "s.rank_error").agg(F.count(F.lit(1)).alias("n_values"), F.sum("s.below").alias("below"), F.sum("s.upto").alias("upto"))
+    rank, slack = F.greatest(F.lit(1.0), F.ceil(F.col("q") * F.col("n_values"))), F.col("rank_error") * F.col("n_values")
+    return counted.select(*groups, "q", "n_values", ((rank > F.col("below") - slack) & (rank <= F.col("upto") + slack)).alias("within"))
 
 
 def exact_percentiles(df: DataFrame, value: str, groups: list[str], shape: Shape, fractions: list[float]) -> DataFrame:

@@ -82,3 +82,20 @@ def test_estimates_are_unbiased_enough():
     assert abs(np.mean(np.array(got) - true)) < 1.0
     assert s.invert(SMALL, np.zeros_like(sk), QS)[0] == 0
     assert s.invert(SMALL, sk, [0.5])[1][0] == pytest.approx(np.median(SMALL.decode(code)), abs=0.05)
+
+
+def test_values_outside_the_range_keep_their_ranks(spark):
+    df = spark.createDataFrame([("a", float(i) / 10) for i in range(-5, 16)] + [("b", 7.0), ("b", float("-inf"))], "g string, v double")
+    sketches = s.build_sketches(df, "v", ["g"], SMALL)
+    out = {(r["g"], r["q"]): (r["n_values"], r["n_outside"], r["value"]) for r in s.percentiles(sketches, ["g"], SMALL, QS).collect()}
+    assert out["a", 0.05] == (21, 10, float("-inf")) and out["a", 0.95] == (21, 10, float("inf")) and abs(out["a", 0.5][2] - 0.5) < 0.01
+    assert out["b", 0.05] == (2, 2, float("-inf")) and out["b", 0.95] == (2, 2, float("inf"))
+    assert s.within_bounds(df, "v", ["g"], s.percentiles(sketches, ["g"], SMALL, QS), SMALL).where("within").count() == 6
+
+
+def test_bounds_are_checked_against_the_rows(spark):
+    _, df = frame(spark, 4000)
+    found = s.percentiles(s.build_sketches(df, "v", ["g", "h"], SMALL), ["g", "h"], SMALL, QS)
+    assert s.within_bounds(df, "v", ["g", "h"], found, SMALL).where("NOT within").count() == 0
+    wrong = found.withColumn("value", F.col("value") + 0.3)
+    assert s.within_bounds(df, "v", ["g", "h"], wrong, SMALL).where("within").count() < found.count()
