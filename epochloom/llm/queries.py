@@ -52,13 +52,11 @@ def _p5_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of prob_n1 per condition and label, each with its error bound: sketches of every month added up, less those of
-    records delivered again."""
-    month = F.date_format("loaded_at", "yyyy-MM")
-    monthly = sketch.build_sketches(table(spark, folder, "hypnodensities").withColumn("month", month), "prob_n1", [*_P5_GROUPS, "month"], SHAPE)
-    again = _p5_records(spark, folder).where("deliveries > 1").withColumn("month", F.lit("again"))
-    deleted = sketch.build_sketches(again, "prob_n1", [*_P5_GROUPS, "month"], SHAPE, 1 - F.col("deliveries"))
-    return sketch.percentiles(sketch.merge_sketches(monthly.unionByName(deleted), sketch.drop_group(2, 2)), _P5_GROUPS, SHAPE, FRACTIONS)
+    """Percentiles of prob_n1 per condition and label, each with its error bound: sketches of every partition added up, less those
+    of records delivered again."""
+    whole = sketch.build_sketches(table(spark, folder, "hypnodensities"), "prob_n1", _P5_GROUPS, SHAPE)
+    again = sketch.build_sketches(_p5_records(spark, folder).where("deliveries > 1"), "prob_n1", _P5_GROUPS, SHAPE, F.col("deliveries") - 1)
+    return sketch.percentiles(sketch.subtract_sketches(whole, again), _P5_GROUPS, SHAPE, FRACTIONS)
 
 
 def p5_bounds(spark: SparkSession, folder: str) -> DataFrame:

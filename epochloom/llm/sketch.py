@@ -195,24 +195,34 @@ def _pieces(names: list[str], sketches: np.ndarray, split: int) -> pa.RecordBatc
     return pa.RecordBatch.from_pydict(cols, schema=_PIECE)
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pieces -> one per (key, part): a running sum, whatever the number of pieces."""
-    now, total = None, None
-    for batch in batches:
-        for key, part, cells in zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), batch.column("cells"), strict=True):
-            row = cells.values.to_numpy()
-            if (key, part) != now:
-                if now is not None:
-                    yield pa.RecordBatch.from_pydict({"key": [now[0]], "part": [now[1]], "cells": [total]}, schema=_PIECE)
-                now, total = (key, part), row.copy()
-            else:
-                total += row
-    if now is not None:
-        yield pa.RecordBatch.from_pydict({"key": [now[0]], "part": [now[1]], "cells": [total]}, schema=_PIECE)
+def _add_up_by(by: list[str]):
+    """Sorted pieces -> one per ``by``: a running sum, whatever the number of pieces."""
+    names = ["key", "part", *by[2:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        one = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int32()), pa.array([total], pa.list_(pa.int64())), *[pa.array([x], pa.int32()) for x in now[2:]]], names=["key", "part", "cells", *by[2:]])
+        for batch in batches:
+            for *key, cells in zip(*[batch.column(c).to_pylist() for c in names], batch.column("cells"), strict=True):
+                row = cells.values.to_numpy()
+                if key != now:
+                    if now is not None:
+                        yield one()
+                    now, total = key, row.copy()
+                else:
+                    total += row
+        if now is not None:
+            yield one()
+
+    return run
 
 
-def _merged(pieces: DataFrame) -> DataFrame:
-    return pieces.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_add_up, _PIECE_DDL)
+def _merged(pieces: DataFrame, salts: int = 8) -> DataFrame:
+    """Pieces added up per (key, part), first in ``salts`` tasks each, so that no task reads the pieces of all tasks before it."""
+    some = pieces.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    for by in (["key", "part", "salt"], ["key", "part"]):
+        some = some.repartition(*by).sortWithinPartitions(*by).mapInArrow(_add_up_by(by), _PIECE_DDL + (", salt int" if "salt" in by else ""))
+    return some
 
 
 def merge_sketches(sketches: DataFrame, regroup: Column | None = None) -> DataFrame:
@@ -292,7 +302,10 @@ def within_bounds(df: DataFrame, value: str, groups: list[str], found: DataFrame
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(_key_struct(groups).alias("key"), v.alias("v"))
     per_key = found.select(_key_struct(groups).alias("key"), *groups, "q", "value", "rank_error").groupBy("key", *groups).agg(F.array_sort(F.collect_list(F.struct("q", "value", "rank_error"))).alias("ps"))
-    sides = F.transform("ps", lambda p: F.struct(p["q"].alias("q"), p["rank_error"].alias("rank_error"), (F.col("v") < p["value"] - cell).cast("int").alias("below"), (F.col("v") <= p["value"] + cell).cast("int").alias("upto")))
+    above, under, high, low = (lambda p: p["value"] == float("inf")), (lambda p: p["value"] == float("-inf")), F.col("v") > shape.high, F.col("v") < shape.low
+    below = lambda p: F.when(above(p), ~high).otherwise(F.col("v") < p["value"] - cell)
+    upto = lambda p: F.when(under(p), low).otherwise(F.col("v") <= p["value"] + cell)
+    sides = F.transform("ps", lambda p: F.struct(p["q"].alias("q"), p["rank_error"].alias("rank_error"), below(p).cast("int").alias("below"), upto(p).cast("int").alias("upto")))
     counted = rows.join(per_key, "key").select("key", *groups, F.explode(sides).alias("s")).groupBy("key", *groups, "s.q", "s.rank_error").agg(F.count(F.lit(1)).alias("n_values"), F.sum("s.below").alias("below"), F.sum("s.upto").alias("upto"))
     rank, slack = F.greatest(F.lit(1.0), F.ceil(F.col("q") * F.col("n_values"))), F.col("rank_error") * F.col("n_values")
     return counted.select(*groups, "q", "n_values", ((rank > F.col("below") - slack) & (rank <= F.col("upto") + slack)).alias("within"))
