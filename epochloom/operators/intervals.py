@@ -149,14 +149,18 @@ def starts_inside(points: DataFrame, periods: DataFrame, tolerance: DataFrame, b
     """Rows of ``points`` (key, start_ms, end_ms) that begin inside a period of their key.
 
     Inside means more than the key's tolerance after the period's start and not after its end.
-    Periods are disjoint, so each is indexed under the time bins it covers and a point looks into
-    its own bin only. Repeated points come out once; NULL keys or starts match nothing.
+    Periods are disjoint, so only the last one that starts before a point can hold it: one that starts
+    in the point's own time bin, or the last one of the key's earlier bins, which a window over one row
+    per key and bin carries on. A period of any length has one row. Repeated points come out once;
+    NULL keys or starts match nothing.
     """
     tol = tolerance.select(F.col(tolerance.columns[0]).cast("string").alias("key"), F.col("tolerance").cast("double").alias("t")).groupBy("key").agg(F.max("t").alias("tolerance"))
-    spans = (
-        periods.join(tol, "key", "left")
-        .select("key", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"), F.coalesce("tolerance", F.lit(0.0)).alias("tolerance"))
-        .withColumn("bin", F.explode(F.sequence(F.floor(F.col("from_ms") / bin_ms), F.floor(F.col("to_ms") / bin_ms))))
+    spans = periods.join(tol, "key", "left").select(
+        "key", F.floor(F.col("start_ms") / bin_ms).alias("bin"), F.struct(F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"), F.coalesce("tolerance", F.lit(0.0)).alias("tolerance")).alias("span")
     )
     keyed = points.where("start_ms IS NOT NULL").withColumn("bin", F.floor(F.col("start_ms") / bin_ms))
-    return keyed.join(spans, ["key", "bin"]).where((F.col("start_ms") > F.col("from_ms") + F.col("tolerance")) & (F.col("start_ms") <= F.col("to_ms"))).select("key", "start_ms", "end_ms").distinct()
+    bins = spans.unionByName(keyed.select("key", "bin"), allowMissingColumns=True).groupBy("key", "bin").agg(F.max("span").alias("span"))
+    earlier = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select("key", "bin", F.last("span", ignorenulls=True).over(earlier).alias("span")).where("span IS NOT NULL")
+    inside = (F.col("start_ms") > F.col("span.from_ms") + F.col("span.tolerance")) & (F.col("start_ms") <= F.col("span.to_ms"))
+    return keyed.join(spans.unionByName(carried), ["key", "bin"]).where(inside).select("key", "start_ms", "end_ms").distinct()

@@ -35,16 +35,28 @@ def overlap_pairs(left: DataFrame, right: DataFrame, key: list[str], bin_width:
     """Pairs of left and right intervals of one key that share more than a point.
 
     Both sides have the key, ``start`` and ``end`` (left: l_start, l_end; right: r_start, r_end) and
-    any columns with distinct names. Adds overlap = min(ends) - max(starts) > 0. Both are listed under the time
-    bins they cover; a pair counts only in the bin where its overlap starts, so none comes out twice
-    and the work per key is bounded by what lies in one bin.
+    any columns with distinct names. Adds overlap = min(ends) - max(starts) > 0. Intervals with a missing
+    or infinite end are none. An interval lies in one or two bins of its own level, whose bins are the
+    least power of two of ``bin_width`` that is no shorter; it is listed there and at the coarser levels
+    that the other side has under its key, so that even an absurdly long one has few entries. Two
+    intervals meet at the coarser of their levels, in the bin where their overlap starts: no pair
+    comes out twice, and the work per key is bounded by what lies in one bin.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_width), F.floor(F.col(b) / bin_width)))
-    a = left.where("l_start IS NOT NULL AND l_end >= l_start").withColumn("_bin", bins("l_start", "l_end"))
-    b = right.where("r_start IS NOT NULL AND r_end >= r_start").withColumn("_bin", bins("r_start", "r_end"))
-    start = F.greatest("l_start", "r_start")
-    pairs = a.join(b, [*key, "_bin"]).where((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")) & (F.floor(start / bin_width) == F.col("_bin")))
-    return pairs.withColumn("overlap", F.least("l_end", "r_end") - start).where("overlap > 0").drop("_bin")
+    finite = lambda a, b: (F.col(a) > float("-inf")) & (F.col(b) < float("inf")) & (F.col(b) >= F.col(a))
+    level = lambda a, b: F.ceil(F.log2(F.greatest((F.col(b) - F.col(a)) / bin_width, F.lit(1.0)))).cast("int")
+    a = left.where(finite("l_start", "l_end")).withColumn("_la", level("l_start", "l_end"))
+    b = right.where(finite("r_start", "r_end")).withColumn("_lb", level("r_start", "r_end"))
+
+    def listed(rows: DataFrame, own: str, other: DataFrame, others: str, start: str, end: str) -> DataFrame:
+        levels = other.groupBy(*key).agg(F.collect_set(others).alias("_levels"))
+        at = rows.join(levels, key).withColumn("_level", F.explode(F.array_union(F.array(own), F.filter("_levels", lambda x: x > F.col(own))))).drop("_levels")
+        width = F.lit(bin_width) * F.pow(F.lit(2.0), F.col("_level"))
+        return at.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+
+    pairs = listed(a, "_la", b, "_lb", "l_start", "l_end").join(listed(b, "_lb", a, "_la", "r_start", "r_end"), [*key, "_level", "_bin"])
+    start, width = F.greatest("l_start", "r_start"), F.lit(bin_width) * F.pow(F.lit(2.0), F.col("_level"))
+    met = (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")) & (F.col("_level") == F.greatest("_la", "_lb")) & (F.floor(start / width) == F.col("_bin"))
+    return pairs.where(met).withColumn("overlap", F.least("l_end", "r_end") - start).where("overlap > 0").drop("_bin", "_level", "_la", "_lb")
 
 
 def relabel_set(labels: Column, mapping: Column, separator: str = "+") -> Column:

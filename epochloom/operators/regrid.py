@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN_CELLS, MARGIN_CELLS = 360, 30
+SPAN_CELLS = 360
 #: Drift of level and slope per second, relative to the noise variance of the readings.
 LEVEL_DRIFT, SLOPE_DRIFT = 0.02, 1e-5
 #: Before the first reading: level, slope and their covariance (11, 12, 22), about the source's centre.
@@ -264,7 +264,6 @@ def _passed_along(cell: float, span_cells: int) -> Callable:
     """
     width = span_cells * cell
     schema = pa.schema([("key", pa.string()), ("span", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("state", pa.list_(pa.float64()))])
-    empty = _still(width)
 
     def scale_of(m: np.ndarray) -> tuple[float, float]:
         count, centres, scales, low, high = m[:, 3:8].T
@@ -275,40 +274,50 @@ def _passed_along(cell: float, span_cells: int) -> Callable:
         scale = _middle(scales[stepped], count[stepped] - 1) if stepped.any() else 0.0
         return centre, scale or float(max(high[some].max() - centre, centre - low[some].min())) or 1.0
 
-    def source(spans: list[int], m: np.ndarray) -> list[tuple[int, list[float]]]:
+    def source(spans: list[int], m: np.ndarray) -> Iterator[tuple[int, list[float]]]:
         centre, scale = scale_of(m)
-        told = {}
-        for k, (start, _, _, count, own, *_rest, a11, a12, a21, a22, b1, b2, c11, c12, c22, e1, e2, j11, j12, j22) in zip(spans, m.tolist(), strict=True):
+        told = []
+        for start, _, _, count, own, *_rest, a11, a12, a21, a22, b1, b2, c11, c12, c22, e1, e2, j11, j12, j22 in m.tolist():
             d = centre - own if count else 0.0  # from the span's centre to the source's
-            told[k] = start, (a11, a12, a21, a22, b1 - (1 - a11) * d, b2 + a21 * d, c11, c12, c22, e1 - j11 * d, e2 - j12 * d, j11, j12, j22)
-        numbers = range(spans[0], spans[-1] + 1)
-
-        def stretches(k: int) -> list[tuple]:
-            return [_still(max(told[k][0] - k * width, 0.0)), told[k][1]] if k in told else [empty]
-
-        after, later = {}, (0.0,) * 5
-        for k in reversed(numbers):
-            after[k] = later
-            if k > numbers[0]:
-                for stretch in reversed(stretches(k)):
-                    later = _backward(later, stretch)
-        states, state = [], _UNKNOWN
-        for k in numbers:
+            told.append((start, (a11, a12, a21, a22, b1 - (1 - a11) * d, b2 + a21 * d, c11, c12, c22, e1 - j11 * d, e2 - j12 * d, j11, j12, j22)))
+        # What all readings from a span with readings on say about the state at its edge, last span first.
+        onwards, later = [], (0.0,) * 5
+        for k, (start, condensed) in zip(reversed(spans), reversed(told), strict=True):
+            later = _backward(later, condensed)
+            later = _backward(later, _still(max(start - k * width, 0.0)))
+            onwards.append(later)
+            if len(onwards) < len(spans):
+                later = _backward(later, _still((k - spans[-len(onwards) - 1] - 1) * width))
+        onwards.reverse()
+        state = _UNKNOWN
+        for i, (k, (start, condensed)) in enumerate(zip(spans, told, strict=True)):
+            until = spans[i + 1] if i + 1 < len(spans) else k + 1
+            after = _backward(onwards[i + 1], _still((until - k - 1) * width)) if i + 1 < len(spans) else (0.0,) * 5
             # A source begins at its first time, not at the edge of its first span.
-            begins = k == numbers[0]
-            states.append((k, [told[k][0] if begins else k * width, *state, *after[k], centre, scale]))
-            if k < numbers[-1]:
-                for stretch in stretches(k)[1 if begins else 0 :]:
-                    state = _onward(state, stretch)
-        return states
-
-    def sources(keys: list[str], spans: list[int], m: np.ndarray, cuts: list[int]) -> pa.RecordBatch:
+            yield k, [k * width if i else start, *state, *after, centre, scale]
+            if i:
+                state = _onward(state, _still(max(start - k * width, 0.0)))
+            state = _onward(state, condensed)
+            for empty in range(k + 1, until):
+                yield empty, [empty * width, *_onward(state, _still((empty - k - 1) * width)), *_backward(onwards[i + 1], _still((until - empty - 1) * width)), centre, scale]
+            state = _onward(state, _still((until - k - 1) * width))
+
+    def sources(keys: list[str], spans: list[int], m: np.ndarray, cuts: list[int]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[], [], [], [], []]
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+            for c in columns:
+                c.clear()
+            return out
+
         for f, e in zip(cuts[:-1], cuts[1:], strict=True):
-            states = source(spans[f:e], m[f:e])
-            for column, values in zip(columns, ([keys[f]] * len(states), [k for k, _ in states], [float(m[f, 1])] * len(states), [float(m[e - 1, 2])] * len(states), [v for _, v in states]), strict=True):
-                column += values
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+            for k, state in source(spans[f:e], m[f:e]):
+                for column, value in zip(columns, (keys[f], k, float(m[f, 1]), float(m[e - 1, 2]), state), strict=True):
+                    column.append(value)
+                if len(columns[0]) >= 20_000:
+                    yield flush()
+        yield flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows of the last source seen wait in pieces until the next one begins.
@@ -321,11 +330,11 @@ def _passed_along(cell: float, span_cells: int) -> Callable:
             if keys[-1] != held[0][0][-1]:
                 keys, spans, m = [k for h in held for k in h[0]], [k for h in held for k in h[1]], np.concatenate([h[2] for h in held])
                 cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
-                yield sources(keys, spans, m, cuts)
+                yield from sources(keys, spans, m, cuts)
                 held = [(keys[cuts[-1] :], spans[cuts[-1] :], m[cuts[-1] :])]
         if held:
             keys, spans, m = [k for h in held for k in h[0]], [k for h in held for k in h[1]], np.concatenate([h[2] for h in held])
-            yield sources(keys, spans, m, [*(i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]), len(keys)])
+            yield from sources(keys, spans, m, [*(i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]), len(keys)])
 
     return run
 
@@ -376,7 +385,14 @@ def _span_cells(cell: float, span_cells: int) -> Callable:
     return _by_span(span, finish, lambda s: len(s[2]) + len(s[5]))
 
 
-def regular_grid(readings: DataFrame, runs: DataFrame, cell_seconds: float = 10.0, span_cells: int = SPAN_CELLS, margin_cells: int = MARGIN_CELLS) -> DataFrame:
+def _each_span(rows: DataFrame, first: Column, last: Column, many: int = 4096) -> DataFrame:
+    """Every row once for each whole number ``span`` from ``first`` to ``last``; in two steps, so that no list is longer than the root of their number allows."""
+    rough = rows.withColumns({"_first": first, "_last": last}).withColumn("_many", F.explode(F.sequence(F.floor(F.col("_first") / many), F.floor(F.col("_last") / many))))
+    fine = F.sequence(F.greatest(F.col("_first"), F.col("_many") * many), F.least(F.col("_last"), F.col("_many") * many + many - 1))
+    return rough.withColumn("span", F.explode(fine)).drop("_first", "_last", "_many")
+
+
+def regular_grid(readings: DataFrame, runs: DataFrame, cell_seconds: float = 10.0, span_cells: int = SPAN_CELLS) -> DataFrame:
     """One row per grid cell between the first and the last cell with readings of each source.
 
     ``readings`` (key, time, value): rows with a NULL or NaN key, time or value are no readings, nor
@@ -388,8 +404,8 @@ def regular_grid(readings: DataFrame, runs: DataFrame, cell_seconds: float = 10.
     is 'observed', 'lost' (no reading though a run touches the cell) or 'break'; value is the smoothed
     level at the middle of the cell and sd its uncertainty, which grows inside gaps. An infinite
     reading counts as observed but doesn't enter the smoother. Neither depends on ``span_cells``, but for
-    sd's unit: the noise scale of a source is the middle one of its spans. ``margin_cells`` has no effect
-    any more: spans pass on their state instead of overlapping.
+    sd's unit: the noise scale of a source is the middle one of its spans. A gap costs its cells, and
+    nothing more in any one task: the spans inside it come from closed forms, one after the other.
     """
     inf = float("inf")
     good = F.col("time").isNotNull() & ~F.isnan("time") & (F.abs("time") < inf) & F.col("value").isNotNull() & ~F.isnan("value") & F.col("key").isNotNull()
@@ -405,7 +421,7 @@ def regular_grid(readings: DataFrame, runs: DataFrame, cell_seconds: float = 10.
         .join(reach, "key")
         # A run counts within the source's grid only, which bounds the spans it is listed under.
         .select("key", F.greatest("start", F.col("first") * cell_seconds).alias("a"), F.least("end", (F.col("last") + 1) * cell_seconds).alias("b")).where("b >= a").distinct()
-        .select("key", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("span"), F.lit(1).alias("tag"), "a", "b")
     )
+    cover = _each_span(cover, F.floor(F.col("a") / width), F.floor(F.col("b") / width)).select("key", "span", F.lit(1).alias("tag"), "a", "b")
     rows = frame.withColumn("tag", F.lit(0)).unionByName(cover, allowMissingColumns=True).unionByName(data.withColumn("tag", F.lit(2)), allowMissingColumns=True)
     return rows.repartition("key", "span").sortWithinPartitions("key", "span", "tag", "a", "b").mapInArrow(_span_cells(cell_seconds, span_cells), "key string, cell long, kind string, readings long, value double, sd double")

@@ -202,6 +202,12 @@ def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _p6(spark, folder).select(F.col("key").alias("recording_id"), (F.col("cell") * 10).alias("cell_s"), "kind", "readings", "value", "sd")
 
 
+def p6_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells with their kind, the number of readings in each, and whether it got a value with an uncertainty."""
+    filled = F.col("value").isNotNull() & ~F.isnan("value") & (F.col("sd") > 0) & (F.col("sd") < float("inf"))
+    return p6_grid(spark, folder).select("recording_id", "cell_s", "kind", "readings", filled.alias("filled"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Cells without readings between a recording's first and last cell with readings."""
     return p6_grid(spark, folder).where("kind <> 'observed'").select("recording_id", "cell_s", "kind")
@@ -217,3 +223,15 @@ SELECT recording_id, cell * 10 AS cell_s,
        CASE WHEN EXISTS (SELECT 1 FROM continuous_runs k WHERE k.recording_id = m.recording_id AND k.start_time < m.cell * 10 + 10 AND k.end_time >= m.cell * 10) THEN 'lost' ELSE 'break' END AS kind
 FROM m
 """
+
+P6_CELLS_SQL = """
+WITH x AS (SELECT recording_id, unnest(sample_times) AS t, unnest(signal) AS v FROM continuous_runs),
+r AS (SELECT DISTINCT recording_id, t, v FROM x WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v)),
+c AS (SELECT recording_id, CAST(floor(t / 10) AS BIGINT) AS cell, count(*) AS readings FROM r GROUP BY ALL),
+e AS (SELECT recording_id, min(cell) AS f, max(cell) AS l FROM c GROUP BY 1),
+g AS (SELECT recording_id, unnest(range(f, l + 1)) AS cell FROM e)
+SELECT recording_id, cell * 10 AS cell_s, coalesce(readings, 0) AS readings, true AS filled,
+       CASE WHEN readings > 0 THEN 'observed'
+            WHEN EXISTS (SELECT 1 FROM continuous_runs k WHERE k.recording_id = g.recording_id AND k.start_time < g.cell * 10 + 10 AND k.end_time >= g.cell * 10) THEN 'lost' ELSE 'break' END AS kind
+FROM g LEFT JOIN c USING (recording_id, cell)
+"""

@@ -14,6 +14,7 @@ QUERIES = {
     "p4_report": problems.p4_report,
     "p6_found": problems.p6_found,
     "p6_grid": problems.p6_grid,
+    "p6_cells": problems.p6_cells,
 } | common.QUERIES
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "p4_found": problems.P4_SQL,
     "p4_report": problems.P4_REPORT_SQL,
     "p6_found": problems.P6_SQL,
+    "p6_cells": problems.P6_CELLS_SQL,
 } | common.SQL

@@ -15,7 +15,7 @@ from epochloom.operators import intervals, signals, staging, windows
 from epochloom.plans import runs
 from epochloom.plans.common import FT, PROBS, feats, query
 from epochloom.plans.relational import WINDOWS
-from epochloom.session import shared_folder
+from epochloom.session import cut, drop_folder, shared_folder
 from epochloom.sources.tables import clean_table, table
 from epochloom.streaming import periods
 
@@ -228,7 +228,8 @@ def stream_periods(spark: SparkSession, folder: str) -> DataFrame:
     rows = source.select(F.col("recording_id").alias("key"), intervals.to_ms(F.col("absolute_start")).alias("start_ms"), intervals.to_ms(F.col("absolute_end")).alias("end_ms"))
     where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     periods.run_to_table(periods.stream_pieces(rows, 6.0), f"{where}/out", f"{where}/checkpoint")
-    pieces = periods.latest(spark.read.parquet(f"{where}/out"))
+    pieces = cut(periods.latest(spark.read.parquet(f"{where}/out")))
+    drop_folder(spark, where)
     tolerance = pieces.select("key", F.lit(6.0).alias("tolerance")).distinct()
     merged = intervals.merge_intervals(pieces, "key", "start_ms", "end_ms", tolerance)
     return merged.where("kind = 'period'").select(F.col("key").alias("recording_id"), "start_ms", "end_ms")

@@ -82,3 +82,12 @@ def test_stream_state_equals_batch(spark, tmp_path):
     pieces = latest(spark.read.parquet(str(tmp_path / "out")))
     got = {tuple(r) for r in merge_intervals(pieces, "key", "start_ms", "end_ms", bucket_ms=500).collect()}
     assert got == expected(rows, {})
+
+
+def test_absurd_ends_cost_one_row(spark):
+    far = 10**15
+    periods = spark.createDataFrame([("a", "period", 0, 100), ("a", "period", 200, far), ("b", "period", -far, -5)], "key string, kind string, start_ms long, end_ms long")
+    tolerance = spark.createDataFrame([("a", 10.0)], "recording_id string, tolerance double")
+    points = spark.createDataFrame([("a", 5, 6), ("a", 50, 60), ("a", 150, 160), ("a", 205, 206), ("a", 10**14, None), ("a", far + 1, None), ("b", -6, 0), ("b", -4, 0), ("c", 1, 2), (None, 1, 2), ("a", None, 2), ("a", 50, 60)], "key string, start_ms long, end_ms long")
+    got = sorted((r["key"], r["start_ms"]) for r in starts_inside(points, periods, tolerance).collect())
+    assert got == [("a", 50), ("a", 10**14), ("b", -6)]

@@ -50,7 +50,7 @@ def test_cells(spark):
     nan = float("nan")
     readings = [("a", 3.0, 1.0), ("a", 3.0, 1.0), ("a", 95.0, 2.0), ("a", 41.0, None), ("a", 42.0, nan), ("a", None, 1.0), ("a", nan, 1.0), ("a", float("inf"), 2.0), (None, 5.0, 1.0), ("b", 20.0, 5.0), ("neg", -5.0, 1.0), ("neg", 10.0, 1.0)]
     runs = [("a", 0.0, 20.0), ("a", 55.0, 58.0), ("a", 80.0, None), ("a", 70.0, 60.0), ("zz", 0.0, 5.0), ("a", 0.0, 20.0)]
-    out = grid(spark, readings, runs, span_cells=4, margin_cells=2).collect()
+    out = grid(spark, readings, runs, span_cells=4).collect()
     got = {(r["key"], r["cell"]): r["kind"] for r in out}
     assert len(out) == len(got)
     assert {c: k for (key, c), k in got.items() if key == "a"} == {0: "observed", 1: "lost", 2: "lost", 3: "break", 4: "break", 5: "lost", 6: "break", 7: "break", 8: "break", 9: "observed"}
@@ -64,11 +64,11 @@ def test_spans_agree_with_one_piece_and_uncertainty_grows(spark):
     rng = random.Random(2)
     readings = [("a", t, 10 + t / 100 + rng.gauss(0, 0.1)) for t in (rng.uniform(0, 4000) for _ in range(700)) if not 1500 < t < 1700]
     runs = [("a", 0.0, 4000.0)]
-    one = {r["cell"]: r for r in grid(spark, readings, runs, span_cells=10_000, margin_cells=0).collect()}
-    many = {r["cell"]: r for r in grid(spark, readings, runs, span_cells=60, margin_cells=40).collect()}
+    one = {r["cell"]: r for r in grid(spark, readings, runs, span_cells=10_000).collect()}
+    many = {r["cell"]: r for r in grid(spark, readings, runs, span_cells=60).collect()}
     assert one.keys() == many.keys()
     assert all(one[c]["kind"] == many[c]["kind"] for c in one)
-    assert max(abs(one[c]["value"] - many[c]["value"]) for c in one) < 0.5
+    assert max(abs(one[c]["value"] - many[c]["value"]) for c in one) < 1e-3
     assert abs(one[100]["value"] - 20) < 1
     assert one[160]["sd"] > 3 * one[100]["sd"] and one[160]["kind"] == "lost"
 
@@ -84,7 +84,7 @@ def test_gaps_longer_than_spans_equal_one_piece(spark):
     readings += [("b", t, 1e6 + rng.gauss(0, 1)) for t in (5.0, 7.0, 20.0, 9000.0)]
     one = {(r["key"], r["cell"]): r for r in grid(spark, readings, [], span_cells=10_000).collect()}
     for cells in (20, 360):
-        many = {(r["key"], r["cell"]): r for r in grid(spark, readings, [], span_cells=cells, margin_cells=3).collect()}
+        many = {(r["key"], r["cell"]): r for r in grid(spark, readings, [], span_cells=cells).collect()}
         assert one.keys() == many.keys()
         for key, unit in (("a", 5e-6), ("b", 1.0)):
             mine = [c for c in one if c[0] == key]
@@ -99,3 +99,13 @@ def test_gaps_longer_than_spans_equal_one_piece(spark):
 def test_infinite_readings_stay_out(spark):
     out = {r["cell"]: r for r in grid(spark, [("a", 5.0, 1.0), ("a", 15.0, float("inf")), ("a", 25.0, 1.2), ("a", 35.0, 1.1), ("b", 5.0, float("inf"))], []).where("key = 'a'").collect()}
     assert out[1]["kind"] == "observed" and all(0.9 < r["value"] < 1.3 for r in out.values())
+
+
+def test_long_gap_is_passed_over_in_closed_form(spark):
+    readings = [("a", 1.0, 1.0), ("a", 2.0, 1.1), ("a", 400_000.0, 3.0), ("a", 400_010.0, 3.1)]
+    runs = [("a", 0.0, 1e12), ("a", -1e12, 5.0)]
+    one, many = ({r["cell"]: r for r in grid(spark, readings, runs, span_cells=cells).collect()} for cells in (100_000, 3))
+    assert one.keys() == many.keys() and len(one) == 40_002
+    assert {r["kind"] for r in many.values()} == {"observed", "lost"}
+    for c in (0, 1, 500, 20_000, 39_999, 40_000):
+        assert abs(one[c]["value"] - many[c]["value"]) < 1e-5 and abs(many[c]["sd"] * one[0]["sd"] / many[0]["sd"] / one[c]["sd"] - 1) < 1e-3

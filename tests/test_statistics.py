@@ -186,8 +186,11 @@ def test_overlap_pairs_match_brute_force(spark):
     rng = random.Random(8)
     one = [("k" if rng.random() < 0.8 else "z", i, a := rng.uniform(0, 500), a + rng.choice([0, 30, 200])) for i in range(80)]
     two = [("k" if rng.random() < 0.8 else None, i, a := rng.uniform(0, 500), a + rng.choice([0, 30, 90])) for i in range(80)] + [("k", 99, one[0][3], one[0][3] + 5)]
+    # Long and absurdly long intervals, which lie in a few bins of their own level, and ends that are none.
+    one += [("k", 90, 10.0, 1e12), ("k", 91, -1e12, 250.0), ("z", 92, 100.0, 5000.0), ("k", 93, 5.0, float("inf")), ("k", 94, 5.0, float("nan"))]
+    two += [("k", 100, -1e11, 1e13), ("z", 101, 130.0, 1e9), ("k", 102, 3.0, None)]
     got = joins.overlap_pairs(spark.createDataFrame(one, "k string, i int, l_start double, l_end double"), spark.createDataFrame(two, "k string, j int, r_start double, r_end double"), ["k"], 60.0).collect()
-    want = {(i, j): min(b, d) - max(a, c) for k, i, a, b in one for m, j, c, d in two if k == m and a < d and c < b and min(b, d) > max(a, c)}
+    want = {(i, j): min(b, d) - max(a, c) for k, i, a, b in one for m, j, c, d in two if d is not None and b < float("inf") and k == m and a < d and c < b and min(b, d) > max(a, c)}
     assert len(got) == len(want) and all(want[(r["i"], r["j"])] == pytest.approx(r["overlap"]) for r in got)
 
 
