@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from epochloom.operators.checks import join_null_safe
+from epochloom.session import cut
+
 NEAR_ZERO = 1e-12
 EXACT_PAIRS = 50
 
@@ -24,23 +27,55 @@ def average_rank(value: Column, partition: list[str]) -> Column:
     return (F.rank().over(w) + F.count(F.lit(1)).over(w)) / 2
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``_k``, the row's number from 1 in its group's order, ``_n``, the size of the group, and ``_part``.
+
+    Rows are sorted by range partitions of (keys, order); each numbers its own, and the offset of a
+    partition is the sum of those before it. So no group is sorted in one task, unless it has a third of
+    its rows at one place of the order. NULL keys are a group; ties are numbered as they come.
+    """
+    # Written once: offsets and rows must come from the same partition bounds.
+    placed = cut(df.repartitionByRange(*(F.col(k) for k in keys), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*keys)
+    offsets = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"), (F.sum("_rows").over(whole.orderBy("_part")) - F.col("_rows")).alias("_before"), F.sum("_rows").over(whole).alias("_n"))
+    same = placed["_part"] == offsets["_at"]
+    for i, k in enumerate(keys):
+        same = same & placed[k].eqNullSafe(offsets[f"_key{i}"])
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return placed.withColumn("_own", inside).join(offsets, same).withColumn("_k", F.col("_before") + F.col("_own")).drop("_own", "_before", "_at", *[f"_key{i}" for i in range(len(keys))])
+
+
+def spread_offsets(df: DataFrame, keys: list[str], order: list[Column], out: str, width: float = 1.0) -> DataFrame:
+    """``df`` with offsets spread evenly over [-width/2, width/2] by rank; a single row sits at 0."""
+    at = numbered(df, keys, order)
+    return at.withColumn(out, F.when(F.col("_n") > 1, ((F.col("_k") - 1) / F.nullif(F.col("_n") - 1, F.lit(0)) - 0.5) * width).otherwise(0.0)).drop("_k", "_n", "_part")
+
+
 def adjust_pvalues(df: DataFrame, p: str, families: list[str], method: str = "fdr_bh", out: str = "p_adjusted") -> DataFrame:
     """Benjamini-Hochberg or Bonferroni adjustment within each family; NULL and NaN p stay NULL.
 
-    One row is one test, so a family is as large as the result table of its tests. Without families all
-    tests are one, which Spark sorts in one task.
+    Without families all tests are one. Tests are numbered by range partitions; the least later value of
+    a partition comes from one row per later partition, so a family of any size is no one task's work.
     """
-    clean = F.when(~F.isnan(F.col(p)), F.col(p))
-    n = F.count(F.col("_p")).over(Window.partitionBy(*families))
-    base = df.withColumn("_p", clean)
+    base = df.withColumn("_p", F.when(~F.isnan(F.col(p)), F.col(p)))
     if method == "bonferroni":
-        return base.withColumn(out, F.least(F.col("_p") * n, F.lit(1.0))).drop("_p")
+        sizes = base.groupBy(*families).agg(F.count("_p").alias("_tests"))
+        if families:
+            joined = join_null_safe(base, sizes, families)
+        else:
+            joined = base.withColumn("_tests", sizes.scalar())
+        return joined.withColumn(out, F.least(F.col("_p") * F.col("_tests"), F.lit(1.0))).drop("_p", "_tests")
     if method != "fdr_bh":
         raise ValueError(f"unknown method {method}")
-    upto = Window.partitionBy(*families).orderBy(F.col("_p").asc_nulls_last())
-    ranked = base.withColumn("_raw", F.when(F.col("_p").isNotNull(), F.col("_p") * n / F.row_number().over(upto)))
-    from_right = Window.partitionBy(*families).orderBy(F.col("_p").desc_nulls_first(), F.col("_raw").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.when(F.col("_p").isNotNull(), F.least(F.min("_raw").over(from_right), F.lit(1.0)))).drop("_p", "_raw")
+    without = base.where("_p IS NULL").withColumn(out, F.lit(None).cast("double")).drop("_p")
+    tests = numbered(base.where("_p IS NOT NULL"), families, [F.col("_p")]).withColumn("_raw", F.col("_p") * F.col("_n") / F.col("_k"))
+    least = tests.groupBy(*families, "_part").agg(F.min("_raw").alias("_least"))
+    later = Window.partitionBy(*families).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = least.select(*families, "_part", F.min("_least").over(later).alias("_after"))
+    own = Window.partitionBy(*families, "_part").orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    adjusted = join_null_safe(tests.withColumn("_own", F.min("_raw").over(own)), after, [*families, "_part"])
+    return adjusted.withColumn(out, F.least(F.col("_own"), F.coalesce("_after", F.lit(1.0)), F.lit(1.0))).select(*without.columns).unionByName(without)
 
 
 @lru_cache(maxsize=256)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochloom.functions import probability as pr
-from epochloom.operators import changes, checks, joins, selection
+from epochloom.operators import changes, checks, joins, select, selection
 from epochloom.operators.ranks import safe_corr
 from epochloom.plans.common import BANDS, FEATURES, FT, H, PROBS, SP, each, feats, hyp, mean_of_millionths, mean_sql, nn, query, rounded, spectrum
 from epochloom.sources.tables import clean_table, table
@@ -235,7 +235,11 @@ def duplicate_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {FT} SELECT experimental_label, round(median(bp_rel_alpha), 6) AS median_alpha, min(absolute_start) AS first_start, max(absolute_end) AS last_end, round(quantile_cont(abs(specparam_exponent), 0.95), 6) AS cap FROM f GROUP BY 1")
 def medians_and_cap(spark: SparkSession, folder: str) -> DataFrame:
-    return feats(spark, folder).groupBy("experimental_label").agg(F.round(F.median("bp_rel_alpha"), 6).alias("median_alpha"), F.min("absolute_start").alias("first_start"), F.max("absolute_end").alias("last_end"), F.round(F.percentile(F.abs("specparam_exponent"), 0.95), 6).alias("cap"))
+    rows, by = feats(spark, folder), ["experimental_label"]
+    ends = rows.groupBy(*by).agg(F.min("absolute_start").alias("first_start"), F.max("absolute_end").alias("last_end"))
+    middle = select.percentiles(rows, by, "bp_rel_alpha", [0.5]).select(*by, F.round(F.col("p")[0], 6).alias("median_alpha"))
+    cap = select.percentiles(rows.withColumn("size", F.abs("specparam_exponent")), by, "size", [0.95]).select(*by, F.round(F.col("p")[0], 6).alias("cap"))
+    return checks.join_null_safe(checks.join_null_safe(ends, middle, by, "left"), cap, by, "left")
 
 
 @query("SELECT recording_id, string_agg(block_id, ';' ORDER BY block_id) AS blocks FROM (SELECT DISTINCT recording_id, block_id FROM blocks) GROUP BY 1")
@@ -268,7 +272,9 @@ _PROFILE = "count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS
 def numeric_profile(spark: SparkSession, folder: str) -> DataFrame:
     long = feats(spark, folder).unpivot([], BANDS, "feature", "x")
     r = lambda c, name: F.round(c, 6).alias(name)
-    return long.groupBy("feature").agg(F.count("x").alias("n"), r(F.avg("x"), "mean"), r(F.stddev_samp("x"), "sd"), r(F.min("x"), "low"), r(F.percentile("x", 0.25), "q1"), r(F.median("x"), "mid"), r(F.percentile("x", 0.75), "q3"), r(F.max("x"), "high"))
+    plain = long.groupBy("feature").agg(F.count("x").alias("n"), r(F.avg("x"), "mean"), r(F.stddev_samp("x"), "sd"), r(F.min("x"), "low"), r(F.max("x"), "high"))
+    quarters = select.percentiles(long, ["feature"], "x", [0.25, 0.5, 0.75]).select("feature", *[r(F.col("p")[i], name) for i, name in enumerate(("q1", "mid", "q3"))])
+    return plain.join(quarters, "feature", "left")
 
 
 @query(f"WITH {SP}, m AS (SELECT subject, condition, frequency_hz, avg(power) AS p FROM sp WHERE frequency_hz BETWEEN 1 AND 45 AND power > 0 AND power < 1e-9 GROUP BY ALL) SELECT condition, frequency_hz, count(*) AS n_subjects, round(avg(p) * 1e13, 6) AS mean_power FROM m GROUP BY ALL")
@@ -457,11 +463,11 @@ def composite_shares(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("subject", "condition", *[F.round(f"{n}__share", 6).alias(f"{n}__share") for n in names], *[F.signum(F.round(F.col(f"{n}__sign"), 9)).alias(f"{n}__sign") for n in names], (F.round("closure_error", 5) + F.lit(0.0)).alias("closure_error"))
 
 
-@query(f"WITH {FT}, d AS (SELECT electrode, {each('corr({c}, specparam_exponent) AS {c}', BANDS)} FROM f WHERE specparam_exponent IS NOT NULL GROUP BY 1) SELECT count(*) AS n_electrodes FROM d")
-def electrode_correlations_count(spark: SparkSession, folder: str) -> DataFrame:
-    rows = feats(spark, folder).where("specparam_exponent IS NOT NULL")
-    per = rows.groupBy("electrode").agg(*[safe_corr(c, "specparam_exponent").alias(c) for c in BANDS])
-    return per.agg(F.count(F.lit(1)).alias("n_electrodes"))
+@query(f"WITH {FT}, u AS (UNPIVOT (SELECT electrode, specparam_exponent, {', '.join(BANDS)} FROM f WHERE specparam_exponent IS NOT NULL) ON {', '.join(BANDS)} INTO NAME feature VALUE x) SELECT electrode, feature, count(*) AS n_used, round(covar_pop(x, specparam_exponent) / nullif(stddev_pop(x) * stddev_pop(specparam_exponent), 0), 6) AS correlation FROM u GROUP BY ALL")
+def electrode_correlations(spark: SparkSession, folder: str) -> DataFrame:
+    """Correlation of every band share with the exponent, per electrode."""
+    long = feats(spark, folder).where("specparam_exponent IS NOT NULL").unpivot(["electrode", "specparam_exponent"], BANDS, "feature", "x").where("x IS NOT NULL")
+    return long.groupBy("electrode", "feature").agg(F.count(F.lit(1)).alias("n_used"), F.round(safe_corr("x", "specparam_exponent"), 6).alias("correlation"))
 
 
 @query(f"""WITH {FT}, u AS (UNPIVOT (SELECT electrode, specparam_exponent, {', '.join(BANDS)} FROM f WHERE specparam_exponent IS NOT NULL AND electrode IS NOT NULL) ON {', '.join(BANDS)} INTO NAME feature VALUE x),

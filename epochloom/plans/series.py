@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from epochloom.functions import kernels
 from epochloom.functions.probability import window_label
 from epochloom.operators import segmentation as seg
-from epochloom.operators import intervals, signals, staging, windows
+from epochloom.operators import intervals, ranks, signals, staging, windows
 from epochloom.plans import runs
 from epochloom.plans.common import FT, PROBS, feats, query
 from epochloom.plans.relational import WINDOWS
@@ -123,7 +123,8 @@ def time_norm(spark: SparkSession, folder: str) -> DataFrame:
 @query("WITH k AS (SELECT rating_id, session, count(*) OVER (PARTITION BY session) AS n, row_number() OVER (PARTITION BY session ORDER BY intensity NULLS FIRST, rating_id) - 1 AS k FROM (SELECT rating_id, session, CASE WHEN NOT isnan(intensity) THEN intensity END AS intensity FROM ratings)) SELECT rating_id, round(CASE WHEN n > 1 THEN k / nullif(n - 1, 0) - 0.5 ELSE 0 END, 7)::DOUBLE AS swarm_offset FROM k")
 def swarm_offsets(spark: SparkSession, folder: str) -> DataFrame:
     rows = clean_table(spark, folder, "ratings")
-    return rows.select("rating_id", F.round(windows.even_offsets(["session"], ["intensity", "rating_id"]), 7).alias("swarm_offset"))
+    order = [F.col("intensity").asc_nulls_first(), F.col("rating_id").asc()]
+    return ranks.spread_offsets(rows.select("session", "rating_id", "intensity"), ["session"], order, "offset").select("rating_id", F.round("offset", 7).alias("swarm_offset"))
 
 
 # Signals
