@@ -1,16 +1,18 @@
 """Problem 3: impossible, stuck and far-off readings per source, by state-space forecasting.
 
-Model, per source and in units of its own robust spread (z = (y - median) / (1.4826 * MAD)): a
-deviation d that returns to 0, d' = PHI * d + w, seen as z = d + v with var v = 1, var w = Q. A
-Kalman filter forecasts every reading; a standardised innovation above THRESHOLD is flagged and its
-update withheld, so that a spike doesn't move the forecast.
-
-Bounds that make the flags a superset of what the exact check asks for: the gain never exceeds
-K = P / (P + 1) = 0.0104 with P = Q / (1 - PHI^2), so |d| <= K * 4 * 1.005 / (1 - PHI) = 0.42. A reading
-further than 12 MAD = 8.09 spreads off the median has an innovation of at least 7.7 > 4.02: flagged.
-Five equal readings in a row have innovations, before they are standardised, within 0.34 of each other
-however far they are off, thus a variance under 0.03: a vanishing innovation variance marks every stuck
-run. The exact rules then decide among the flagged.
+Model, per source: a deviation d from the median that returns to 0, d' = PHI * d + w, seen as z = d + v with
+var v = 1, var w = Q. The noise, the unit of z, is estimated from the source as its near spread s / 0.6745: s is
+the distance from the median within which, on one of its sides, a quarter of all readings lie. A Kalman
+filter forecasts every reading; a standardised innovation above THRESHOLD is flagged and its update
+withheld, so that a spike doesn't move the forecast. Flags choose the candidates: only a flagged
+reading can be a spike, median distances (MAD) are computed for sources with flags only, and only runs
+with a vanishing innovation variance are measured.
+
+Why no case is lost: half of the readings lie within MAD of the median, so a quarter of them do on one of its
+sides, and s <= MAD. The gain never exceeds K = P / (P + 1) = 0.0104 with P = Q / (1 - PHI^2), so
+|d| <= K * 4 * 1.005 / (1 - PHI) = 0.42. A reading further than 12 MAD off, at least 8.09 units, has an innovation
+of at least 7.6 > 4.02: flagged. Five equal readings in a row have innovations, before they are
+standardised, within 0.34 of each other however far they are off, thus a variance under 0.03.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochloom.operators.select import same_keys, select_ranks
+from epochloom.operators.select import percentiles, same_keys, select_ranks
 from epochloom.session import cut
 from epochloom.sources.tables import nan_to_null
 
 PHI, Q, THRESHOLD, VANISHING, WINDOW = 0.9, 0.002, 4.0, 0.03, 5
-#: Sources with more readings than this are split over tasks; smaller ones are whole in one task.
+#: So many readings before a chunk warm its filter up: what came before them has lost its weight, PHI ** 200 < 1e-9.
+WARM_UP = 200
+#: The readings to warm up with come from so many chunks before; each has some.
+_CHUNKS_BEFORE = 8
+#: Sources with more rows are judged by chunks, others where their rows meet; both give the same flags.
 WHOLE_SOURCE_ROWS = 500_000
 _BATCH_ROWS = 60_000
 
@@ -61,20 +67,49 @@ def kalman_innovations(z: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return out, plain
 
 
-def _medians(values: np.ndarray, group: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Median (mean of the middle two) and size per group; NaN for an empty one."""
+def _near_spread(ordered: np.ndarray, begin: np.ndarray, size: np.ndarray, med: np.ndarray, less: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Per group of sorted values: the distance from the median that holds a quarter of all on one of its sides."""
+    k = -(-size // 4)
+    at = lambda where, ok: ordered[np.where(ok, begin + where, 0)]
+    right, left = less + k <= size, upto >= k
+    with np.errstate(invalid="ignore"):
+        return np.minimum(np.where(right, at(less + k - 1, right) - med, np.inf), np.where(left, med - at(upto - k, left), np.inf))
+
+
+def _middle(values: np.ndarray, group: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Median (mean of the middle two), near spread and size per group; NaN for an empty one."""
     size = np.bincount(group, minlength=n_groups)
-    ordered = values[np.lexsort((values, group))]
-    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    ok = size > 0
-    out = np.full(n_groups, np.nan)
-    b, s = begin[ok], size[ok]
-    out[ok] = (ordered[b + (s - 1) // 2] + ordered[b + s // 2]) / 2
-    return out, size
+    med, near = np.full(n_groups, np.nan), np.full(n_groups, np.nan)
+    if len(values):
+        ordered = values[np.lexsort((values, group))]
+        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        ok = size > 0
+        b, n = begin[ok], size[ok]
+        med[ok] = (ordered[b + (n - 1) // 2] + ordered[b + n // 2]) / 2
+        less, upto = (np.bincount(group, weights=f(values, med[group]), minlength=n_groups).astype(np.int64)[ok] for f in (np.less, np.less_equal))
+        near[ok] = _near_spread(ordered, b, n, med[ok], less, upto)
+    return med, near, size
+
+
+def _spikes(y: np.ndarray, source: np.ndarray, nu: np.ndarray, med: np.ndarray, size: np.ndarray, rules: dict) -> np.ndarray:
+    """Which readings are spikes: median distances are computed for sources with flagged innovations only."""
+    flagged = np.abs(nu) > THRESHOLD
+    chosen = np.zeros(len(size), bool)
+    chosen[source[flagged]] = True
+    chosen &= size >= rules["least"]
+    inside = chosen[source]
+    spike = np.zeros(len(y), bool)
+    if inside.any():
+        number = np.cumsum(chosen) - 1
+        distance, own = np.abs(y[inside] - med[source[inside]]), number[source[inside]]
+        mad = _middle(distance, own, int(chosen.sum()))[0]
+        spike[inside] = flagged[inside] & (distance > rules["mads"] * mad[own])
+    return spike
 
 
 def _judge(key_change: np.ndarray, same_reading: np.ndarray, y: np.ndarray, possible: np.ndarray, stats: tuple | None, halo: list | None, rules: dict):
-    """Flags of rows sorted by source and order, for whole sources (or chunks with stats and halo)."""
+    """Flags of rows sorted by source and order: of whole sources, or of chunks with the stats and neighbours of their sources,
+    whose spikes are still to be told from other flagged readings."""
     # One reading per record, however often it was delivered.
     reading = ~(same_reading & ~key_change)
     of_row = np.cumsum(reading) - 1
@@ -82,23 +117,27 @@ def _judge(key_change: np.ndarray, same_reading: np.ndarray, y: np.ndarray, poss
     source = np.cumsum(key_change[reading]) - 1
     n_sources = int(source[-1]) + 1 if len(source) else 0
     fine = np.flatnonzero(possible1)
-    if stats is None:
-        med, n = _medians(y1[fine], source[fine], n_sources)
-        mad, _ = _medians(np.abs(y1[fine] - med[source[fine]]), source[fine], n_sources)
-    else:
-        med, mad, n = stats
-    distance = np.abs(y1[fine] - med[source[fine]])
-    spread = mad[source[fine]]
+    group = source[fine]
+    med, near, size = _middle(y1[fine], group, n_sources) if stats is None else stats
+    lengths = np.bincount(group, minlength=n_sources)
+    values, own = y1[fine], np.ones(len(fine), bool)
+    if halo is not None:  # readings before a chunk go through its filter first
+        warm = [np.asarray(w, float) for w, _, _ in halo]
+        cuts = np.cumsum(lengths)[:-1]
+        series = [np.concatenate((w, v)) for w, v in zip(warm, np.split(values, cuts), strict=True)]
+        own = np.concatenate([np.arange(len(x)) >= len(w) for w, x in zip(warm, series, strict=True)]) if series else own
+        lengths = np.array([len(x) for x in series], np.int64)
+        values, group = np.concatenate(series) if series else values, np.repeat(np.arange(n_sources), lengths)
+    off = values - med[group]
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        z = np.where(spread > 0, (y1[fine] - med[source[fine]]) / (1.4826 * spread), np.where(distance > 0, np.inf, 0.0))
+        z = np.where(near[group] > 0, off * 0.6745 / near[group], np.where(off != 0, np.sign(off) * np.inf, 0.0))
     z = np.clip(np.nan_to_num(z, nan=0.0, posinf=1e9, neginf=-1e9), -1e9, 1e9)
-    lengths = np.bincount(source[fine], minlength=n_sources)
-    nu, plain = kalman_innovations(z, lengths[lengths > 0])
+    nu, plain = (a[own] for a in kalman_innovations(z, lengths[lengths > 0]))
     innovation = np.full(len(y1), np.nan)
     innovation[fine] = nu
     spike = np.zeros(len(y1), bool)
-    flagged = np.abs(nu) > THRESHOLD
-    spike[fine] = flagged & (distance > rules["mads"] * spread) & (n[source[fine]] >= rules["least"])
+    if stats is None:
+        spike[fine] = _spikes(y1[fine], source[fine], nu, med, size, rules)
     # Runs of one value in order, impossible readings between them included.
     breaks = np.ones(len(y1), bool)
     breaks[1:] = (source[1:] != source[:-1]) | (y1[1:] != y1[:-1])
@@ -107,6 +146,7 @@ def _judge(key_change: np.ndarray, same_reading: np.ndarray, y: np.ndarray, poss
     low = _vanishing(plain, source[fine])
     candidate = np.zeros(len(length), bool)
     candidate[run[fine[low]]] = True
+    candidate[run[~possible1]] = True  # impossible readings don't go through the filter
     if halo is None:
         stuck_run = candidate & (length >= rules["run"])
     else:
@@ -114,7 +154,7 @@ def _judge(key_change: np.ndarray, same_reading: np.ndarray, y: np.ndarray, poss
         first = np.flatnonzero(np.concatenate(([True], source[1:] != source[:-1]))) if len(y1) else np.array([], int)
         last = np.append(first[1:], len(y1)) - 1 if len(y1) else first
         extra = np.zeros(len(length), int)
-        for (before, after), f, g in zip(halo, first, last, strict=True):
+        for (_, before, after), f, g in zip(halo, first, last, strict=True):
             extra[run[f]] += _leading(reversed(before), y1[f])
             extra[run[g]] += _leading(after, y1[g])
         stuck_run = (candidate | (extra > 0)) & (length + extra >= rules["run"])
@@ -159,33 +199,10 @@ _OUT = pa.schema([("row_id", pa.int64()), ("impossible", pa.bool_()), ("stuck",
 _OUT_DDL = "row_id long, impossible boolean, stuck boolean, spike boolean, innovation double"
 
 
-def _filter_batches(keys: list[str], order: list[str], rules: dict, chunked: bool):
-    def work(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        column = lambda c: table.column(c).combine_chunks() if table.num_rows else pa.array([])
-        change = np.zeros(table.num_rows, bool)
-        for k in keys:
-            change |= _differs(column(k))
-        moved = np.zeros(table.num_rows, bool)
-        for c in order:
-            moved |= _differs(column(c))
-        y = column("_y").to_numpy(zero_copy_only=False)
-        same = ~moved
-        same[1:] &= y[1:] == y[:-1]
-        same[:1] = False
-        first = np.flatnonzero(change)
-        stats = halo = None
-        if chunked:
-            stats = tuple(column(c).to_numpy(zero_copy_only=False)[first].astype(float) for c in ("_med", "_mad", "_n"))
-            before, after = column("_before").take(pa.array(first)).to_pylist(), column("_after").take(pa.array(first)).to_pylist()
-            halo = [(b or [], a or []) for b, a in zip(before, after, strict=True)]
-        flags = _judge(change, same, y, column("_possible").to_numpy(zero_copy_only=False).astype(bool), stats, halo, rules)
-        any_flag = flags[0] | flags[1] | flags[2] | (np.abs(np.nan_to_num(flags[3])) > THRESHOLD)
-        row = column("row_id").filter(pa.array(any_flag))
-        return pa.RecordBatch.from_arrays([row, *(pa.array(f[any_flag], from_pandas=True) for f in flags)], schema=_OUT)
+def _by_group(keys: list[str], work) -> object:
+    """``work`` on tables of whole groups of sorted rows; only the last, perhaps unfinished, group is kept back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Judge complete groups; only the last, perhaps unfinished, one is kept back."""
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
@@ -194,20 +211,52 @@ def _filter_batches(keys: list[str], order: list[str], rules: dict, chunked: boo
             if rows < _BATCH_ROWS:
                 continue
             table = pa.Table.from_batches(held)
-            change = np.zeros(rows, bool)
-            for k in keys:
-                change |= _differs(table.column(k).combine_chunks())
-            last = int(np.flatnonzero(change)[-1])
+            last = int(np.flatnonzero(_changes(table, keys))[-1])
             if last:
-                yield work(table.slice(0, last))
+                yield work(table.slice(0, last).combine_chunks())
                 held = table.slice(last).combine_chunks().to_batches()
                 rows -= last
         if rows:
-            yield work(pa.Table.from_batches(held))
+            yield work(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _changes(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """True where one of the columns isn't that of the row before."""
+    out = np.zeros(table.num_rows, bool)
+    for c in columns:
+        out |= _differs(table.column(c).combine_chunks())
+    return out
+
+
+def _repeats(table: pa.Table, order: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Values, and where a row is the reading of the row before once more (if it is of the same source)."""
+    y = table.column("_y").to_numpy()
+    same = ~_changes(table, order)
+    same[1:] &= y[1:] == y[:-1]
+    same[:1] = False
+    return y, same
+
+
+def _flags(groups: list[str], order: list[str], rules: dict, chunked: bool):
+    def work(table: pa.Table) -> pa.RecordBatch:
+        change = _changes(table, groups)
+        y, same = _repeats(table, order)
+        first = np.flatnonzero(change)
+        stats = halo = None
+        if chunked:
+            facts = table.take(pa.array(first))
+            stats = tuple(facts.column(c).to_numpy().astype(float) for c in ("_med", "_near", "_n"))
+            halo = [tuple(x or [] for x in three) for three in zip(*[facts.column(c).to_pylist() for c in ("_warm", "_before", "_after")], strict=True)]
+        flags = _judge(change, same, y, table.column("_possible").to_numpy().astype(bool), stats, halo, rules)
+        any_flag = flags[0] | flags[1] | flags[2] | (np.abs(np.nan_to_num(flags[3])) > THRESHOLD)
+        row = table.column("row_id").combine_chunks().filter(pa.array(any_flag))
+        return pa.RecordBatch.from_arrays([row, *(pa.array(f[any_flag], from_pandas=True) for f in flags)], schema=_OUT)
+
+    return _by_group(groups, work)
+
+
 def flag_readings(
     df: DataFrame, row_id: str, source: list[str], order: list[Column], value: str, possible: Column, chunk: list[Column],
     mads: float = 12.0, least: int = 20, run: int = 5, whole_rows: int = WHOLE_SOURCE_ROWS,
@@ -215,10 +264,12 @@ def flag_readings(
     """Flag readings that are impossible, stuck or far off relative to their own source.
 
     ``order`` sorts the readings of a source, ``possible`` says which values can be, and ``chunk``
-    (non-decreasing in ``order``) says where a source of more than ``whole_rows`` rows is split. Rows
-    with a NULL or NaN value are no readings. Rows equal in source, order and value are one reading;
-    every one of their ids is reported. NULL (or NaN) source columns form sources of their own,
-    and readings without an order come first.
+    (non-decreasing in ``order``) says into which parts a source of more than ``whole_rows`` rows is split.
+    Each chunk is judged with the statistics of its source and the readings before and after it, so that
+    the flags and innovations are those of one piece (given WARM_UP readings in the eight chunks before).
+    One job over the source columns finds these sources when the query is built. Rows with a NULL or NaN value are no readings. Rows equal in source, order and value
+    are one reading; every one of their ids is reported. NULL (or NaN) source columns form sources of
+    their own, and readings without an order come first.
 
     Returns (row_id, impossible, stuck, spike, innovation) of every row with a flag or an innovation
     above the threshold: ``spike`` needs a flagged innovation and a distance of more than ``mads``
@@ -237,64 +288,73 @@ def flag_readings(
         *[c.alias(p) for c, p in zip(chunk, parts, strict=True)],
     )
     base = nan_to_null(base, *keys, *sorts)
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > whole_rows).drop("_rows")
     # At most rows / whole_rows sources are large; none in most data.
-    n_large = sizes.count()
+    several = cut(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > whole_rows).select(*keys))
     whole = base.drop(*parts)
-    if n_large:
-        whole = whole.alias("r").join(sizes.alias("s"), same_keys(keys, "r", "s"), "left_anti")
-    sorted_whole = whole.repartition(*keys).sortWithinPartitions(*keys, *sorts, "_y")
-    found = sorted_whole.mapInArrow(_filter_batches(keys, sorts, rules, False), _OUT_DDL)
-    if not n_large:
-        return found
-    large = base.alias("r").join(sizes.alias("s"), same_keys(keys, "r", "s"), "left_semi")
-    return found.unionByName(_large_sources(large, keys, sorts, parts, rules))
-
-
-def _exact_median(readings: DataFrame, keys: list[str], value: str) -> DataFrame:
-    sizes = readings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    wanted = sizes.select(*keys, F.posexplode(F.array(lower, upper)).alias("target", "rank"))
-    return select_ranks(readings, keys, value, wanted).groupBy(*keys).agg((F.sum("value") / 2).alias("median"))
+    if several.isEmpty():
+        large = None
+    else:
+        whole = whole.alias("r").join(several.alias("s"), same_keys(keys, "r", "s"), "left_anti")
+        large = base.alias("r").join(several.alias("s"), same_keys(keys, "r", "s"), "left_semi")
+    found = whole.repartition(*keys).sortWithinPartitions(*keys, *sorts, "_y").mapInArrow(_flags(keys, sorts, rules, False), _OUT_DDL)
+    return found if large is None else found.unionByName(_in_chunks(large, keys, sorts, parts, rules))
 
 
-def _large_sources(large: DataFrame, keys: list[str], sorts: list[str], parts: list[str], rules: dict) -> DataFrame:
-    """Sources too large for a task: statistics by radix selection, filters per chunk.
+def _edges(groups: list[str], order: list[str], schema: str, reach: int):
+    """One row per chunk: its first and last ``reach`` readings, and the last WARM_UP possible ones."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    Each chunk starts from the model's stationary state; runs of equal readings see the four nearest
-    readings of the chunks before and after.
-    """
+    def work(table: pa.Table) -> pa.RecordBatch:
+        change = _changes(table, groups)
+        y, same = _repeats(table, order)
+        kept, first = ~(same & ~change), np.flatnonzero(change)
+        possible = table.column("_possible").to_numpy().astype(bool)
+        facts = table.select(groups).take(pa.array(first))
+        columns: list[list] = [[], [], []]
+        for f, e in zip(first, [*first[1:], table.num_rows], strict=True):
+            own, fine = y[f:e][kept[f:e]], y[f:e][kept[f:e] & possible[f:e]]
+            for column, v in zip(columns, (own[:reach], own[-reach:], fine[-WARM_UP:]), strict=True):
+                column.append(v)
+        return pa.RecordBatch.from_arrays([*[facts.column(g).combine_chunks() for g in groups], *[pa.array(c, pa.list_(pa.float64())) for c in columns]], names=names)
+
+    return _by_group(groups, work)
+
+
+def _in_chunks(large: DataFrame, keys: list[str], sorts: list[str], parts: list[str], rules: dict) -> DataFrame:
+    """Sources of several chunks: order statistics by radix selection, a warmed-up filter per chunk, and median distances of
+    the sources with flagged readings."""
+    groups, reach = [*keys, *parts], rules["run"] - 1
     # Written once: the radix rounds below read it again and again.
-    readings = cut(large.groupBy(*keys, *parts, *sorts, "_y").agg(F.first("_possible").alias("_possible")))
-    fine = readings.where("_possible")
-    counts = fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    med = cut(_exact_median(fine, keys, "_y").withColumnRenamed("median", "_med"))
-    off = _join_null_safe(fine, med, keys).withColumn("_d", F.abs(F.col("_y") - F.col("_med")))
-    mad = _exact_median(off, keys, "_d").withColumnRenamed("median", "_mad")
-    stats = _join_null_safe(_join_null_safe(counts, med, keys), mad, keys)
-    reach = rules["run"] - 1
-    at = F.struct(*sorts, "_y")
-    chunks = readings.groupBy(*keys, *parts).agg(F.array_sort(F.collect_list(at)).alias("_all")).select(
-        *keys, *parts, F.transform(F.slice("_all", 1, reach), lambda x: x["_y"]).alias("_head"),
-        F.transform(F.expr(f"slice(_all, greatest(size(_all) - {reach - 1}, 1), {reach})"), lambda x: x["_y"]).alias("_tail"),
-    )
+    readings = cut(large.groupBy(*groups, *sorts, "_y").agg(F.first("_possible").alias("_possible")))
+    fine = readings.where("_possible").select(*keys, "_y")
+    med = cut(percentiles(fine, keys, "_y", [0.5]).select(*keys, F.col("p")[0].alias("_med")))
+    sides = _join_null_safe(fine, med, keys).groupBy(*keys, "_med").agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col("_y") < F.col("_med")).cast("long")).alias("_less"), F.sum((F.col("_y") <= F.col("_med")).cast("long")).alias("_upto"))
+    quarter = F.ceil(F.col("_n") / 4)
+    wanted = sides.select(*keys, F.posexplode(F.array(F.col("_less") + quarter, F.col("_upto") - quarter + 1)).alias("target", "rank"))
+    near = _join_null_safe(select_ranks(fine, keys, "_y", wanted), med, keys).groupBy(*keys).agg(F.min(F.abs(F.col("value") - F.col("_med"))).alias("_near"))
+    stats = _join_null_safe(sides.select(*keys, "_med", "_n"), near, keys, "left").withColumn("_near", F.coalesce("_near", F.lit(0.0)))
+    types = dict(large.dtypes)
+    schema = ", ".join([*[f"{g} {types[g]}" for g in groups], "_head array<double>", "_tail array<double>", "_fine array<double>"])
+    placed = readings.repartition(*groups).sortWithinPartitions(*groups, *sorts, "_y")
+    edges = placed.mapInArrow(_edges(groups, sorts, schema, reach), schema)
     w = Window.partitionBy(*keys).orderBy(*parts)
-    empty = F.array().cast("array<double>")
-    near = lambda f, c, steps: F.concat(*[F.coalesce(f(c, i).over(w), empty) for i in steps])
-    halos = chunks.select(
-        *keys, *parts,
-        F.reverse(F.slice(F.reverse(near(F.lag, "_tail", range(reach, 0, -1))), 1, reach)).alias("_before"),
-        F.slice(near(F.lead, "_head", range(1, reach + 1)), 1, reach).alias("_after"),
-    )
-    with_stats = _join_null_safe(halos, stats, keys, "left")
-    groups = [*keys, *parts]
-    rows = _join_null_safe(large, with_stats, groups)
-    rows = rows.withColumns({"_med": F.coalesce("_med", F.lit(0.0)), "_mad": F.coalesce("_mad", F.lit(0.0)), "_n": F.coalesce("_n", F.lit(0))})
-    return rows.repartition(*groups).sortWithinPartitions(*groups, *sorts, "_y").mapInArrow(_filter_batches(groups, sorts, rules, True), _OUT_DDL)
+    before, after = w.rowsBetween(-reach, -1), w.rowsBetween(1, reach)
+    last = lambda c, n, over: F.reverse(F.slice(F.reverse(F.flatten(F.collect_list(c).over(over))), 1, n))
+    halos = edges.select(*groups, last("_fine", WARM_UP, w.rowsBetween(-_CHUNKS_BEFORE, -1)).alias("_warm"), last("_tail", reach, before).alias("_before"), F.slice(F.flatten(F.collect_list("_head").over(after)), 1, reach).alias("_after"))
+    rows = _join_null_safe(large, _join_null_safe(halos, stats, keys, "left"), groups)
+    rows = rows.withColumns({"_med": F.coalesce("_med", F.lit(0.0)), "_near": F.coalesce("_near", F.lit(0.0)), "_n": F.coalesce("_n", F.lit(0))})
+    flags = cut(rows.repartition(*groups).sortWithinPartitions(*groups, *sorts, "_y").mapInArrow(_flags(groups, sorts, rules, True), _OUT_DDL))
+    # Flagged readings choose the sources whose median distance is needed.
+    flagged = large.join(flags.where(F.abs("innovation") > THRESHOLD).select("row_id").distinct(), "row_id", "left_semi").select("row_id", *keys, "_y")
+    chosen = _join_null_safe(stats.where(F.col("_n") >= rules["least"]), flagged.select(*keys).distinct(), keys, "left_semi")
+    away = _join_null_safe(fine, chosen, keys).select(*keys, F.abs(F.col("_y") - F.col("_med")).alias("_d"))
+    mads = _join_null_safe(chosen, percentiles(away, keys, "_d", [0.5]).select(*keys, F.col("p")[0].alias("_mad")), keys)
+    far = _join_null_safe(flagged, mads, keys).where(F.abs(F.col("_y") - F.col("_med")) > rules["mads"] * F.col("_mad")).select(F.col("row_id").alias("_id")).distinct()
+    return flags.join(far, flags["row_id"] == far["_id"], "left").select("row_id", "impossible", "stuck", F.col("_id").isNotNull().alias("spike"), "innovation")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    renamed = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in right.columns if c not in keys and c not in left.columns])
     same = F.lit(True)
     for k in keys:
         same = same & left[k].eqNullSafe(renamed[f"_r{k}"])

@@ -72,9 +72,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_flags(spark, folder).where("impossible OR stuck OR spike").select("table_name", "row_id")
 
 
-def _p3_sql(name: str, source: str, order: str, value: str, possible: str) -> str:
+def p3_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of p3_found with what is wrong with each."""
+    return p3_flags(spark, folder).where("impossible OR stuck OR spike").drop("innovation")
+
+
+def _p3_sql(name: str, source: str, order: str, value: str, possible: str, columns: str) -> str:
     return f"""
-SELECT '{name}' AS table_name, row_id FROM (
+SELECT '{name}' AS table_name, {columns} FROM (
   WITH r AS (SELECT row_id, {source}, {order}, {value} AS y, {possible} AS ok FROM {name} WHERE {value} IS NOT NULL AND NOT isnan({value})),
   u AS (SELECT DISTINCT {source}, {order}, y, ok FROM r),
   s AS (SELECT {source}, count(*) AS n, median(y) AS m FROM u WHERE ok GROUP BY {source}),
@@ -82,15 +87,20 @@ SELECT '{name}' AS table_name, row_id FROM (
   b AS (SELECT *, CASE WHEN y = lag(y) OVER (PARTITION BY {source} ORDER BY {order}, y) THEN 0 ELSE 1 END AS new FROM u),
   g AS (SELECT *, sum(new) OVER (PARTITION BY {source} ORDER BY {order}, y ROWS UNBOUNDED PRECEDING) AS run FROM b),
   l AS (SELECT *, count(*) OVER (PARTITION BY {source}, run) AS len FROM g),
-  c AS (SELECT l.* FROM l LEFT JOIN s USING ({source}) LEFT JOIN d USING ({source}) WHERE NOT ok OR len >= 5 OR (n >= 20 AND abs(y - m) > 12 * mad))
-  SELECT DISTINCT row_id FROM r SEMI JOIN c USING ({source}, {order}, y))"""
+  k AS (SELECT l.*, NOT ok AS impossible, len >= 5 AS stuck, coalesce(ok AND n >= 20 AND abs(y - m) > 12 * mad, false) AS spike FROM l LEFT JOIN s USING ({source}) LEFT JOIN d USING ({source})),
+  c AS (SELECT * FROM k WHERE impossible OR stuck OR spike)
+  SELECT DISTINCT row_id, impossible, stuck, spike FROM r JOIN c USING ({source}, {order}, y))"""
+
+
+def _p3_all(columns: str) -> str:
+    return " UNION ALL ".join((
+        _p3_sql("spectra", "recording_id, electrode, frequency_hz", "block_id, epoch", "power", "power > 0 AND NOT isinf(power)", columns),
+        _p3_sql("features", "recording_id, electrode", "absolute_start, block_id, epoch", "yasa_eeg_std", "yasa_eeg_std > 0 AND NOT isinf(yasa_eeg_std)", columns),
+        _p3_sql("hypnodensities", "recording_id, stager, channel_set", "absolute_start, block_id, epoch", "prob_w", "prob_w BETWEEN 0 AND 1", columns),
+    ))
 
 
-P3_SQL = " UNION ALL ".join((
-    _p3_sql("spectra", "recording_id, electrode, frequency_hz", "block_id, epoch", "power", "power > 0 AND NOT isinf(power)"),
-    _p3_sql("features", "recording_id, electrode", "absolute_start, block_id, epoch", "yasa_eeg_std", "yasa_eeg_std > 0 AND NOT isinf(yasa_eeg_std)"),
-    _p3_sql("hypnodensities", "recording_id, stager, channel_set", "absolute_start, block_id, epoch", "prob_w", "prob_w BETWEEN 0 AND 1"),
-))
+P3_SQL, P3_KINDS_SQL = _p3_all("row_id"), _p3_all("row_id, impossible, stuck, spike")
 
 
 #: The dealt references; p4_found reports these.

@@ -10,6 +10,7 @@ QUERIES = {
     "p1_found": problems.p1_found,
     "p3_found": problems.p3_found,
     "p3_flags": problems.p3_flags,
+    "p3_kinds": problems.p3_kinds,
     "p4_found": problems.p4_found,
     "p4_report": problems.p4_report,
     "p6_found": problems.p6_found,
@@ -20,6 +21,7 @@ QUERIES = {
 SQL = {
     "p1_found": problems.P1_SQL,
     "p3_found": problems.P3_SQL,
+    "p3_kinds": problems.P3_KINDS_SQL,
     "p4_found": problems.P4_SQL,
     "p4_report": problems.P4_REPORT_SQL,
     "p6_found": problems.P6_SQL,

@@ -1,9 +1,11 @@
 import random
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from epochloom.operators import spikes
 from epochloom.operators.select import select_ranks
 from epochloom.operators.spikes import flag_readings
 
@@ -51,10 +53,13 @@ def data(seed, n=1500):
     return rows
 
 
-def found(spark, rows, **more):
+def flags(spark, rows, width=100.0, **more):
     df = spark.createDataFrame(rows, "id long, src string, t double, y double").withColumns({"_k0": F.lit(1), "row_id": F.lit("clash")})
-    flags = flag_readings(df, "id", ["src"], [F.col("t")], "y", (F.col("y") > 0) & (F.col("y") < INF), [F.floor(F.col("t") / 100)], **more)
-    got = [r["row_id"] for r in flags.where("impossible OR stuck OR spike").collect()]
+    return flag_readings(df, "id", ["src"], [F.col("t")], "y", (F.col("y") > 0) & (F.col("y") < INF), [F.floor(F.col("t") / width)], **more)
+
+
+def found(spark, rows, width=100.0, **more):
+    got = [r["row_id"] for r in flags(spark, rows, width, **more).where("impossible OR stuck OR spike").collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -65,9 +70,29 @@ def test_matches_brute_force(spark, seed):
     assert found(spark, rows) == brute(rows)
 
 
-def test_split_sources_give_the_same(spark):
+def test_chunks_of_any_size_give_the_same_flags(spark):
+    """Not only the cases: every row with a large innovation, and the innovation."""
     rows = data(3)
-    assert found(spark, rows, whole_rows=50) == brute(rows)
+    one = {r["row_id"]: r for r in flags(spark, rows).collect()}
+    assert {i for i, r in one.items() if r["impossible"] or r["stuck"] or r["spike"]} == brute(rows)
+    many = {r["row_id"]: r for r in flags(spark, rows, 437.0, whole_rows=100).collect()}
+    assert many.keys() == one.keys()
+    for i, r in one.items():
+        assert (r["impossible"], r["stuck"], r["spike"]) == (many[i]["impossible"], many[i]["stuck"], many[i]["spike"])
+        assert (r["innovation"] is None) == (many[i]["innovation"] is None) and abs((r["innovation"] or 0) - (many[i]["innovation"] or 0)) < 1e-6 * max(1, abs(r["innovation"] or 0))
+
+
+def test_the_filter_chooses_what_is_measured(monkeypatch):
+    """Without flagged innovations no median distance is computed, and nothing is a spike."""
+    y, source = np.array([1.0, 1.1, 0.9, 1.0] * 6 + [50.0] + [2.0, 2.2, 1.8, 2.0] * 6), np.array([0] * 25 + [1] * 24)
+    med, near, size = spikes._middle(y, source, 2)
+    assert np.all(near <= [np.median(np.abs(y[source == k] - med[k])) for k in (0, 1)])
+    measured = []
+    middle = spikes._middle
+    monkeypatch.setattr(spikes, "_middle", lambda v, g, n: measured.append(len(v)) or middle(v, g, n))
+    nu = np.where(y == 50.0, 9.0, 0.1)
+    assert spikes._spikes(y, source, nu, med, size, {"mads": 12.0, "least": 20}).nonzero()[0].tolist() == [24] and measured == [25]
+    assert not spikes._spikes(y, source, np.zeros(len(y)), med, size, {"mads": 12.0, "least": 20}).any() and measured == [25]
 
 
 def test_constant_source_and_ties(spark):
