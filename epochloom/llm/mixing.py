@@ -66,6 +66,30 @@ def water_fill(shares: list[Share], total: float) -> dict[str, float]:
     return given | {s.source: 0.0 for s in shares if s.source not in given}
 
 
+def repetitions(planned: float, tokens: int) -> tuple[int, float]:
+    """How many whole times a source of ``tokens`` goes into ``planned`` tokens, and the tokens still missing then."""
+    if not tokens:
+        return 0, 0.0
+    # Just under k times, by rounding only, is k times.
+    whole = int(planned / tokens + 1e-9)
+    return whole, max(0.0, planned - whole * tokens)
+
+
+def within_plan(chosen: DataFrame, report: DataFrame, docs: DataFrame) -> DataFrame:
+    """What a mixture must keep, per source: (source, target_share, max_repeats, has_documents, within_repeats, near_plan).
+
+    No document is used more than max_repeats times (a copy of a row counts with it), and a source's tokens
+    are off its plan by no more than one bucket of its documents and one document, 2 / 4,096 of it or
+    the longest document of the source.
+    """
+    used = chosen.groupBy("source").agg(F.max("repeats").alias("most"), F.max("n_tokens").alias("longest"))
+    present = docs.groupBy("source").agg(F.lit(True).alias("has_documents"))
+    both = report.join(used, "source", "left").join(present, "source", "left")
+    off = F.abs(F.col("actual_tokens") - F.col("planned_tokens"))
+    near = off <= F.greatest(F.col("available_tokens") * (2 / _BUCKETS), 8 * F.coalesce("longest", F.lit(0)))
+    return both.select("source", "target_share", "max_repeats", F.coalesce("has_documents", F.lit(False)).alias("has_documents"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), near.alias("near_plan"))
+
+
 def mix_sources(
     docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, shortfall: float = 0.05, seed: int = 17, vocabulary: str = VOCABULARY,
 ) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +122,7 @@ def mix_sources(
     total = default_total(shares, shortfall) if total_tokens is None else float(total_tokens)
     given = water_fill(shares, total)
     plan = spark.createDataFrame(
-        [(s.source, s.weight, s.repeats, s.tokens, given[s.source], int(given[s.source] / s.tokens + 1e-9) if s.tokens else 0, given[s.source] / s.tokens % 1 * s.tokens if s.tokens else 0.0) for s in shares],
+        [(s.source, s.weight, s.repeats, s.tokens, given[s.source], *repetitions(given[s.source], s.tokens)) for s in shares],
         "source string, target_share double, max_repeats int, available_tokens long, planned_tokens double, whole int, extra double",
     )
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)

@@ -109,6 +109,18 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the mixture keeps every source's cap and comes near its plan."""
+    docs = table(spark, folder, "documents")
+    chosen, report = mixing.mix_sources(docs, table(spark, folder, "mix_targets"))
+    return mixing.within_plan(chosen, report, docs)
+
+
+P8_BOUNDS_SQL = """
+SELECT source, target_share, max_repeats, source IN (SELECT source FROM documents WHERE source IS NOT NULL) AS has_documents, true AS within_repeats, true AS near_plan FROM mix_targets
+"""
+
+
 def _p9_scores(docs: DataFrame) -> DataFrame:
     return quality.outlier_scores(quality.document_statistics(docs))
 
@@ -163,6 +175,6 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_p9_scores(docs), docs)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_percentiles, p5_bounds, p5_exact, p5_combined, p7_ids, p8_mix, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_percentiles, p5_bounds, p5_exact, p5_combined, p7_ids, p8_mix, p8_shares, p8_bounds, p9_found, p9_scores)}
 
-SQL = {"p2_found": P2_SQL, "p5_bounds": P5_BOUNDS_SQL, "p5_exact": P5_SQL, "p9_scores": _p9_sql()}
+SQL = {"p2_found": P2_SQL, "p5_bounds": P5_BOUNDS_SQL, "p5_exact": P5_SQL, "p8_bounds": P8_BOUNDS_SQL, "p9_scores": _p9_sql()}

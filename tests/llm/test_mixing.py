@@ -3,7 +3,7 @@ import os
 import pytest
 
 from epochloom.llm.bpe import VOCABULARY
-from epochloom.llm.mixing import Share, default_total, mix_sources, water_fill
+from epochloom.llm.mixing import Share, default_total, mix_sources, repetitions, water_fill
 
 
 def test_water_filling():
@@ -41,3 +41,10 @@ def test_mix(spark):
     assert again == {(r["doc_id"], r["repeats"]) for r in rows}
     assert mix_sources(df.limit(0), targets)[0].count() == 0
     assert mix_sources(df, targets.limit(0))[0].count() == 0
+
+
+def test_a_rounding_error_below_k_times_is_k_times():
+    assert repetitions(234_341.99999999997, 117_171) == (2, 0.0)
+    whole, missing = repetitions(300_000.0, 117_171)
+    assert whole == 2 and missing == 300_000 - 2 * 117_171
+    assert repetitions(5.0, 0) == (0, 0.0) and repetitions(0.0, 10) == (0, 0.0) and repetitions(3.0, 10) == (0, 3.0)
