@@ -62,15 +62,22 @@ def probability_columns(df: DataFrame, prefix: str = "") -> DataFrame:
     return df.select(*rest, *[F.col(found[s]).cast("double").alias(f"prob_{s}") for s in STAGES])
 
 
+def probability_array(df: DataFrame, column: str) -> DataFrame:
+    """An array of five probabilities in state order as columns prob_*; arrays of another length are NULL in all five."""
+    five = F.when(F.size(column) == len(STAGES), F.col(column))
+    return df.select(*[c for c in df.columns if c != column], *[F.get(five, F.lit(i)).cast("double").alias(name) for i, name in enumerate(PROBABILITIES)])
+
+
 def relative_change(base: Column, follow: Column, epsilon: float = 1e-6) -> Column:
     """Change over the signed base, whose size counts as epsilon at least; the sign of 0 is +."""
     return (follow - base) / (F.when(base < 0, -1.0).otherwise(1.0) * F.greatest(F.abs(base), F.lit(epsilon)))
 
 
-def logit(p: Column, epsilon: float = 1e-6) -> Column:
-    """Log odds of p clipped to [epsilon, 1 - epsilon]; NULL outside [0, 1]."""
+def logit(p: Column, epsilon: float = 1e-6, strict: bool = False) -> Column:
+    """Log odds of p clipped to [epsilon, 1 - epsilon]; NULL for NULL, and outside [0, 1] NULL, or an error if ``strict``."""
     clipped = F.least(F.greatest(p, F.lit(epsilon)), F.lit(1 - epsilon))
-    return F.when(p.between(0.0, 1.0), F.ln(clipped / (1 - clipped)))
+    inside = F.when(p.between(0.0, 1.0), F.ln(clipped / (1 - clipped)))
+    return F.when(p.isNotNull() & ~p.between(0.0, 1.0), F.raise_error(F.concat(F.lit("not a probability: "), p.cast("string"))).cast("double")).otherwise(inside) if strict else inside
 
 
 def stars(p: Column, cuts: tuple[float, ...] = (0.001, 0.01, 0.05)) -> Column:

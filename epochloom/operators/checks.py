@@ -51,6 +51,13 @@ def symmetric_difference(left: DataFrame, right: DataFrame, key: str) -> DataFra
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def require_same_keys(left: DataFrame, right: DataFrame, key: str) -> None:
+    """Raise unless both tables have the same set of keys, with up to five that only one has."""
+    odd = symmetric_difference(left, right, key).limit(5).collect()
+    if odd:
+        raise ValueError(f"{key} only on one side: {[(r[0], r['side']) for r in odd]}")
+
+
 def require_single(df: DataFrame, column: str, value=None) -> DataFrame:
     """Rows of one value of a column: the given one, or the only one there is; else raise."""
     if value is None:

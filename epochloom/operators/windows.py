@@ -41,6 +41,12 @@ def elapsed_share(time: Column, partition: list[str]) -> Column:
     return F.try_divide(time, F.max(time).over(Window.partitionBy(*partition)))
 
 
+def seeded_offsets(key: Column, seed: int, width: float = 1.0) -> Column:
+    """Offsets spread evenly by chance over [-width/2, width/2), the same for a key and seed anywhere."""
+    part = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("double")
+    return (part / float(16**8) - 0.5) * width
+
+
 def even_offsets(partition: list[str], order: list[str], width: float = 1.0) -> Column:
     """Offsets spread evenly over [-width/2, width/2] by rank; a single row sits at 0."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*partition))

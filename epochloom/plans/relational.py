@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochloom.functions import probability as pr
-from epochloom.operators import changes, checks, joins, select, selection
+from epochloom.operators import changes, checks, joins, reshape, select, selection, windows
 from epochloom.operators.ranks import safe_corr
 from epochloom.plans.common import BANDS, FEATURES, FT, H, PROBS, SP, each, feats, hyp, mean_of_millionths, mean_sql, nn, query, rounded, spectrum
 from epochloom.sources.tables import clean_table, table
@@ -343,6 +343,51 @@ def pivot_fill(spark: SparkSession, folder: str) -> DataFrame:
     return wide.select("condition", *[F.col(s).cast("int").alias(f"n_{s.lower()}") for s in names])
 
 
+@query(f"WITH {H}, m AS (SELECT condition, stager, experimental_label, {mean_sql('prob_r')} AS p FROM h GROUP BY ALL) SELECT condition, stager, " + ", ".join(f"max(p) FILTER (experimental_label = '{x}') AS {x}" for x in ("before", "after", "late")) + " FROM m WHERE experimental_label IN ('before', 'after', 'late') GROUP BY ALL")
+def pivot_unique_labels(spark: SparkSession, folder: str) -> DataFrame:
+    means = hyp(spark, folder).groupBy("condition", "stager", "experimental_label").agg(mean_of_millionths("prob_r").alias("p"))
+    return reshape.pivot_unique(means, ["condition", "stager"], "experimental_label", ["before", "after", "late"], "p")
+
+
+@query(f"WITH {H}, m AS (SELECT condition, experimental_label, stager, printf('%.3f [%d]', round({mean_sql('prob_n2')}, 3), count(*)) AS cell FROM h GROUP BY ALL) SELECT condition, experimental_label, " + ", ".join(f"coalesce(max(cell) FILTER (stager = '{x}'), '') AS {x}" for x in ("gssc", "sleepfm", "yasa")) + " FROM m GROUP BY ALL")
+def pivot_formatted_cells(spark: SparkSession, folder: str) -> DataFrame:
+    means = hyp(spark, folder).groupBy("condition", "experimental_label", "stager").agg(F.round(mean_of_millionths("prob_n2"), 3).alias("p"), F.count(F.lit(1)).alias("n"))
+    return reshape.pivot_cells(means, ["condition", "experimental_label"], "stager", ["gssc", "sleepfm", "yasa"], "%.3f [%d]", F.col("p"), F.col("n"))
+
+
+@query("SELECT row_id, electrode, bp_rel_delta AS eeg_bp_rel_delta, bp_rel_alpha AS eeg_bp_rel_alpha, specparam_exponent AS eeg_specparam_exponent FROM features")
+def columns_by_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return reshape.columns_by_suffix(table(spark, folder, "features"), ["row_id", "electrode"], ("_delta", "_alpha", "_exponent"), "eeg_")
+
+
+@query("SELECT row_id, " + ", ".join(f"{p}" for p in PROBS) + " FROM hypnodensities")
+def array_probabilities(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities that arrive as one array in state order."""
+    rows = table(spark, folder, "hypnodensities").select("row_id", F.array(*PROBS).alias("state"))
+    return pr.probability_array(rows, "state")
+
+
+@query("WITH a AS (SELECT row_id, prob_w AS wake, prob_n1 AS S1, prob_n2 AS N2, prob_n3 AS n3, prob_r AS REM FROM hypnodensities) SELECT row_id, wake AS prob_w, S1 AS prob_n1, N2 AS prob_n2, n3 AS prob_n3, REM AS prob_r FROM a")
+def aliased_probabilities(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities under other accepted names and in another order."""
+    rows = table(spark, folder, "hypnodensities")
+    return pr.probability_columns(rows.select("row_id", F.col("prob_r").alias("REM"), F.col("prob_n3").alias("n3"), F.col("prob_w").alias("wake"), F.col("prob_n1").alias("S1"), F.col("prob_n2").alias("N2")))
+
+
+_LOG_ODDS = "ln(least(greatest({c}, 1e-6), 1 - 1e-6) / (1 - least(greatest({c}, 1e-6), 1 - 1e-6)))"
+
+
+@query(f"WITH {H} SELECT subject, condition, experimental_label, {each('round(avg(' + _LOG_ODDS + '), 5) AS {c}__logit', ['prob_w', 'prob_n3'])} FROM h GROUP BY ALL")
+def logit_means(spark: SparkSession, folder: str) -> DataFrame:
+    """Log odds of every epoch, averaged afterwards."""
+    return hyp(spark, folder).groupBy("subject", "condition", "experimental_label").agg(*[F.round(F.avg(pr.logit(F.col(p), strict=True)), 5).alias(f"{p}__logit") for p in ("prob_w", "prob_n3")])
+
+
+@query("SELECT subject, round((CAST('0x' || substr(md5('7/' || subject), 1, 8) AS BIGINT)::DOUBLE / 4294967296 - 0.5) * 0.2, 9) AS jitter FROM subjects")
+def subject_jitter(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "subjects").select("subject", F.round(windows.seeded_offsets(F.col("subject"), 7, 0.2), 9).alias("jitter"))
+
+
 _ORDINAL = "CASE condition WHEN 'placebo' THEN 0 WHEN 'DMT' THEN 1 ELSE 2 END AS condition_order, CASE experimental_label WHEN 'before' THEN 0 WHEN 'after' THEN 1 WHEN 'late' THEN 2 ELSE 3 END AS label_order"
 
 

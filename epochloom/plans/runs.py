@@ -7,15 +7,18 @@ import json
 import math
 import os
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochloom.functions.probability import check_windows
 from epochloom.operators.checks import require_unique
-from epochloom.sources.recordings import read_optional
-from epochloom.sources.sinks import write_text
+from epochloom.session import cut
+from epochloom.sources.recordings import path_exists, read_optional
+from epochloom.sources.sinks import save_results, write_text
 
 RUN_NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 
@@ -84,12 +87,8 @@ def canonical_hash(data: object) -> str:
 
 def source_hash(folder: str = os.path.dirname(os.path.dirname(__file__))) -> str:
     """Hash over the package's own modules."""
-    digest = hashlib.sha256()
-    for root, _, files in sorted(os.walk(folder)):
-        for name in sorted(f for f in files if f.endswith(".py")):
-            with open(os.path.join(root, name), "rb") as f:
-                digest.update(name.encode() + f.read())
-    return digest.hexdigest()
+    modules = {str(p.relative_to(folder)): hashlib.sha256(p.read_bytes()).hexdigest() for p in Path(folder).rglob("*.py")}
+    return canonical_hash(modules)
 
 
 def prepare_run(config: AnalysisConfig, name: str, reuse: bool = True) -> str:
@@ -108,6 +107,8 @@ def prepare_run(config: AnalysisConfig, name: str, reuse: bool = True) -> str:
         if changed:
             raise ValueError(f"run {name} was made with other {changed}")
         return folder
+    # JSON is YAML, too: the settings as resolved, for reading and for a next run.
+    write_text(os.path.join(folder, "config.yaml"), json.dumps(config_to_mapping(config), indent=1, sort_keys=True))
     write_text(path, json.dumps(mark | {"name": name, "status": "started", "config": config_to_mapping(config)}, indent=1, sort_keys=True))
     return folder
 
@@ -128,6 +129,33 @@ def pending(candidates: DataFrame, done: DataFrame, reuse: bool = True) -> DataF
     return candidates.join(done.where("status = 'ok'").select("recording_id"), "recording_id", "left_anti") if reuse else candidates
 
 
+def complete(spark: SparkSession, done: DataFrame, folder: str, tables: list[str]) -> DataFrame:
+    """The rows of ``done`` (recording_id, status) that are 'ok' and whose recording is in every output table of the folder."""
+    kept = done.where("status = 'ok'")
+    for name in tables:
+        kept = kept.join(read_optional(spark, f"{folder}/{name}.parquet", "recording_id string").select("recording_id").distinct(), "recording_id", "left_semi")
+    return kept
+
+
+def run_batch(spark: SparkSession, candidates: DataFrame, folder: str, tables: list[str], process: Callable[[DataFrame], dict[str, DataFrame]], reuse: bool = True) -> DataFrame:
+    """Process the candidates (recording_id, ...) that aren't complete yet; the summary (recording_id, status) of all.
+
+    ``process`` gets the pending candidates and returns the output tables, each with recording_id. A
+    recording is 'ok' once it is in every one of ``tables``, else 'failed'. With ``reuse`` recordings that
+    are 'ok' in the summary of an earlier call and whose outputs still exist are left alone.
+    """
+    where = f"{folder}/batch_summary.parquet"
+    done = read_optional(spark, where, "recording_id string, status string")
+    todo = cut(pending(candidates, complete(spark, done, folder, tables), reuse))
+    if not todo.isEmpty():
+        save_results({n: df for n, df in process(todo).items() if n in tables}, folder)
+    every = candidates.select("recording_id").distinct()
+    present = complete(spark, every.withColumn("status", F.lit("ok")), folder, tables)
+    summary = cut(every.join(present, "recording_id", "left").na.fill("failed", ["status"]))
+    summary.write.mode("overwrite").parquet(where)
+    return summary
+
+
 def tolerance_label(seconds: float) -> str:
     """'090s', '000p5s': a name that sorts like its number."""
     whole, _, rest = f"{seconds:g}".partition(".")
@@ -154,14 +182,22 @@ STUDY_KEYS = {
     "blocks": ["recording_id", "block_id"],
     "spectra": ["recording_id", "block_id", "epoch", "electrode", "frequency_hz"],
 }
+REQUIRED = ("features", "blocks")
+#: Further tables of a study, without keys of their own.
+OTHERS = {"staging_qc": "recording_id string, block_id string, stager string, status string", "batch_summary": "recording_id string, status string", "file_selection": "recording_id string, selected string"}
 
 
 def assemble_study(spark: SparkSession, folder: str, strict: bool = True) -> dict[str, DataFrame]:
-    """The study's tables; with ``strict``, keys must be unique and staged blocks must exist."""
+    """The study's seven tables; absent optional ones are empty. With ``strict``, features and blocks must be there; keys must be
+    unique and staged blocks must exist in any case where both tables have rows."""
+    absent = [n for n in REQUIRED if not path_exists(spark, f"{folder}/{n}.parquet")]
+    if strict and absent:
+        raise FileNotFoundError(f"{folder} lacks {absent}")
     tables = {n: read_optional(spark, f"{folder}/{n}.parquet", ", ".join(f"{k} {'int' if k == 'epoch' else 'double' if k == 'frequency_hz' else 'string'}" for k in keys)) for n, keys in STUDY_KEYS.items()}
-    if strict:
-        for name, keys in STUDY_KEYS.items():
-            require_unique(tables[name], keys, name)
+    tables |= {n: read_optional(spark, f"{folder}/{n}.parquet", schema) for n, schema in OTHERS.items()}
+    for name, keys in STUDY_KEYS.items():
+        require_unique(tables[name], keys, name)
+    if not tables["blocks"].isEmpty():
         lost = tables["hypnodensities"].select("recording_id", "block_id").distinct().join(tables["blocks"], ["recording_id", "block_id"], "left_anti").limit(5).collect()
         if lost:
             raise ValueError(f"staged blocks that don't exist: {[tuple(r) for r in lost]}")

@@ -238,5 +238,5 @@ def stream_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def extract_features(spark: SparkSession, folder: str) -> DataFrame:
-    """All analyses of every signal in one pass over it."""
-    return signals.extract_features(_signals(spark, folder), ["vec_id"], "x", RATE, list(signals.ANALYSES), (0.5, 8.0))
+    """All analyses of every signal in one pass over it, at a rate at which all bands exist."""
+    return signals.extract_features(_signals(spark, folder), ["vec_id"], "x", 128.0, list(signals.ANALYSES), (2.0, 45.0))

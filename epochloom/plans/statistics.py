@@ -213,6 +213,24 @@ def feature_mixed_models(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.fit_mixed_models(rows, BANDS, {"prob_w": F.col("prob_w")}, "subject", "electrode", ("stager",))
 
 
+@query()
+def delta_feature_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Does the treated minus control difference of a feature go with that of a state, and does it do so otherwise after than before?
+
+    One model per stager, feature and state over subjects, electrodes and phases; the interactions' p-values are
+    adjusted per contrast.
+    """
+    rows = joins.features_with_probabilities(feats(spark, folder), hyp(spark, folder)).where("condition IN ('DMT', 'placebo') AND experimental_label IN ('before', 'after', 'late')")
+    states = [p for p in PROBS if p != "prob_w"]
+    mean = lambda c, side: F.avg(F.when(F.col("condition") == side, F.col(c)))
+    delta = rows.groupBy("stager", "subject", "electrode", F.col("experimental_label").alias("phase")).agg(*[(mean(c, "DMT") - mean(c, "placebo")).alias(c) for c in (*BANDS, *states)])
+    long = delta.unpivot(["stager", "subject", "electrode", "phase", *states], BANDS, "feature", "x").where("x IS NOT NULL")
+    after, late = ((F.col("phase") == p).cast("double") for p in ("after", "late"))
+    fixed = {"x": F.col("x"), "after": after, "late": late, "x:after": F.col("x") * after, "x:late": F.col("x") * late}
+    fits = mixed.fit_mixed_models(long, states, fixed, "subject", "electrode", ("stager", "feature")).where("term IS NULL OR term LIKE 'x:%'")
+    return ranks.adjust_pvalues(fits.withColumn("contrast", F.substring("term", 3, 9)), "p_value", ["contrast"], out="q_fdr")
+
+
 @query()
 def rating_mixed_models(spark: SparkSession, folder: str) -> DataFrame:
     """Ratings against their time point with subject intercepts only."""

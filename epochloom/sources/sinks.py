@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epochloom.operators.checks import require_same_keys
+
 OPTIONAL = ("spectra", "staging_qc")
 
 
@@ -57,6 +59,24 @@ def write_status(folder: str, recording_id: str, status: dict) -> str:
     return path
 
 
+def export_pack(spark: SparkSession, tables: dict[str, DataFrame], folder: str, key: str = "recording_id") -> str:
+    """Write tables with the same recordings to a folder, with an inventory of sizes and hashes beside them.
+
+    Raises if a table lacks recordings that another has. Returns the inventory's path.
+    """
+    (first, one), *rest = tables.items()
+    for name, df in rest:
+        try:
+            require_same_keys(one, df, key)
+        except ValueError as odd:
+            raise ValueError(f"{first} and {name}: {odd}") from None
+    for name, df in tables.items():
+        save_table(df, os.path.join(folder, f"{name}.parquet"))
+    where = os.path.join(folder, "_inventory.json")
+    save_table(inventory(spark, folder, "part-*"), where, single_file=True)
+    return where
+
+
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(file, n_bytes, sha256) of the files below a folder; contents are hashed where they are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)

@@ -1,10 +1,14 @@
 import hashlib
 import json
+import shutil
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from epochloom.functions import probability
+from epochloom.operators import checks, reshape, windows
 from epochloom.plans import runs
 from epochloom.sources import recordings, sinks
 
@@ -89,8 +93,77 @@ def test_runs(spark, tmp_path):
 def test_assembly(spark, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([("r", "b", 0, "gssc", "E1")], "recording_id string, block_id string, epoch int, stager string, channel_set string").write.parquet(f"{folder}/hypnodensities.parquet")
+    with pytest.raises(FileNotFoundError, match="features"):
+        runs.assemble_study(spark, folder)
+    assert runs.assemble_study(spark, folder, strict=False)["blocks"].count() == 0
+    spark.createDataFrame([("r", "b", 0, "E1")], "recording_id string, block_id string, epoch int, electrode string").write.parquet(f"{folder}/features.parquet")
+    blocks = lambda name: spark.createDataFrame([("r", name)], "recording_id string, block_id string").write.mode("overwrite").parquet(f"{folder}/blocks.parquet")
+    blocks("other")
     with pytest.raises(ValueError, match="don't exist"):
         runs.assemble_study(spark, folder)
-    spark.createDataFrame([("r", "b")], "recording_id string, block_id string").write.parquet(f"{folder}/blocks.parquet")
+    blocks("b")
     tables = runs.assemble_study(spark, folder)
-    assert tables["hypnodensities"].count() == 1 and tables["spectra"].count() == 0
+    assert len(tables) == 7 and tables["hypnodensities"].count() == 1 and tables["spectra"].count() == 0 == tables["file_selection"].count()
+    spark.createDataFrame([("r", "b", 0, "E1")] * 2, "recording_id string, block_id string, epoch int, electrode string").write.mode("overwrite").parquet(f"{folder}/features.parquet")
+    with pytest.raises(ValueError, match="share a key"):
+        runs.assemble_study(spark, folder, strict=False)
+
+
+def test_only_requested_channels_are_read(folder, monkeypatch):
+    path = recordings.discover(folder)[0]  # channels first, stored: a channel is one stretch of the file
+    read = []
+    original = zipfile.ZipExtFile.read
+    monkeypatch.setattr(zipfile.ZipExtFile, "read", lambda self, n=-1: read.append((self.name, len(data := original(self, n)))) or data)
+    assert recordings.read_channels(path) == ["E1", "E9", "E45"] and {name for name, _ in read} == {"label.npy"}
+    read.clear()
+    (one, two) = recordings.read_recording(path, ["E45"])
+    assert one.num_rows == 1 and one.column("data")[0].as_py() == [20.0] * 50 and two.column("trial")[0].as_py() == 1
+    assert sum(n for name, n in read if name == "trial_0.npy") < 3 * 50 * 8
+
+
+def test_batches_resume_where_outputs_are_missing(spark, tmp_path):
+    folder, seen = str(tmp_path / "out"), []
+    candidates = spark.createDataFrame([("a",), ("b",), ("c",)], "recording_id string")
+
+    def process(todo):
+        ids = sorted(r[0] for r in todo.collect())
+        seen.append(ids)
+        every = todo.select("recording_id").withColumn("x", F.lit(1))
+        return {"features": every, "blocks": every.where("recording_id <> 'c' OR 1 = %d" % (len(seen) > 2)), "unasked": every}
+
+    run = lambda **more: {r["recording_id"]: r["status"] for r in runs.run_batch(spark, candidates, folder, ["features", "blocks"], process, **more).collect()}
+    assert run() == {"a": "ok", "b": "ok", "c": "failed"} and seen == [["a", "b", "c"]]
+    shutil.rmtree(f"{folder}/features.parquet/recording_id=b")
+    assert run() == {"a": "ok", "b": "ok", "c": "failed"} and seen[1] == ["b", "c"]
+    assert run() == {"a": "ok", "b": "ok", "c": "ok"} and seen[2] == ["c"]
+    assert run() == {"a": "ok", "b": "ok", "c": "ok"} and len(seen) == 3
+    run(reuse=False)
+    assert seen[3] == ["a", "b", "c"]
+
+
+def test_packs_need_the_same_recordings(spark, tmp_path):
+    a, b = (spark.createDataFrame([(x,) for x in ids], "recording_id string") for ids in ("ab", "abc"))
+    with pytest.raises(ValueError, match="right"):
+        sinks.export_pack(spark, {"features": a, "spectra": b}, str(tmp_path))
+    rows = spark.read.json(sinks.export_pack(spark, {"features": a, "spectra": a}, str(tmp_path))).collect()
+    assert rows and all(len(r["sha256"]) == 64 and r["n_bytes"] > 0 for r in rows)
+
+
+def test_reshape_and_contracts(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", None), ("b", "z", 9.0)], "k string, c string, v double")
+    assert sorted(map(tuple, reshape.pivot_unique(df, ["k"], "c", ["x", "y"], "v").collect())) == [("a", 1.0, 2.0), ("b", None, None)]
+    with pytest.raises(ValueError, match="share a key"):
+        reshape.pivot_unique(df.unionByName(df), ["k"], "c", ["x"], "v")
+    assert sorted(map(tuple, reshape.pivot_cells(df.na.fill(0), ["k"], "c", ["x", "y"], "<%.1f>", F.col("v")).collect())) == [("a", "<1.0>", "<2.0>"), ("b", "<0.0>", "")]
+    assert reshape.columns_by_suffix(df, ["k"], ("v",), "n_").columns == ["k", "n_v"]
+    with pytest.raises(ValueError, match="no column"):
+        reshape.columns_by_suffix(df, ["k"], ("q",), "n_")
+    checks.require_same_keys(df, df, "k")
+    with pytest.raises(ValueError, match="left"):
+        checks.require_same_keys(df, df.where("k = 'a'"), "k")
+    five = spark.createDataFrame([(1, [0.1, 0.2, 0.3, 0.4, 0.0]), (2, [0.1]), (3, None)], "i int, p array<double>")
+    assert [tuple(r)[1:] for r in probability.probability_array(five, "p").orderBy("i").collect()] == [(0.1, 0.2, 0.3, 0.4, 0.0), (None,) * 5, (None,) * 5]
+    with pytest.raises(Exception, match="not a probability"):
+        df.select(probability.logit(F.col("v"), strict=True)).collect()
+    jitter = [r[0] for r in spark.range(500).select(windows.seeded_offsets(F.col("id"), 3)).collect()]
+    assert -0.5 <= min(jitter) < -0.45 and 0.45 < max(jitter) < 0.5 and len(set(jitter)) > 490
