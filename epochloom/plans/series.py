@@ -156,15 +156,32 @@ def signal_standardised(spark: SparkSession, folder: str) -> DataFrame:
     return _signals(spark, folder).select("vec_id", F.posexplode(signals.array_standardize(F.col("x"))).alias("position", "value")).withColumn("value", F.round("value", 5))
 
 
-@query()
+def _spectrum_sql(rate: float) -> str:
+    """CTE p (vec_id, k, f, power): one Hann window over the 64 samples of each signal, by the sums of the transform."""
+    wave = lambda g: f"list_sum(list_transform(range(0, 64), lambda i: w[i + 1] * {g}(2 * pi() * k * i / 64)))"
+    return f"""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE len(embedding) = 64), m AS (SELECT vec_id, x, list_avg(x) AS mean FROM e),
+w AS (SELECT vec_id, list_transform(range(0, 64), lambda i: (x[i + 1] - mean) * (0.5 - 0.5 * cos(2 * pi() * i / 64))) AS w FROM m), t AS (SELECT vec_id, unnest(range(0, 33)) AS k, w FROM w),
+s AS (SELECT vec_id, k, {wave('cos')} AS a, {wave('sin')} AS b FROM t),
+p AS (SELECT vec_id, k, k * {rate} / 64 AS f, (a * a + b * b) / ({rate} * 24.0) * CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END AS power FROM s)"""
+
+
+def _area_sql(low: float, high: float, rate: float) -> str:
+    return f"coalesce(sum((power + next) / 2 * {rate / 64}) FILTER (f >= {low} AND f + {rate / 64} <= {high}), 0)"
+
+
+_NEXT = "n AS (SELECT *, lead(power) OVER (PARTITION BY vec_id ORDER BY k) AS next FROM p)"
+_QUARTERS = {"delta": (0.5, 2.0), "theta": (2.0, 4.0), "alpha": (4.0, 6.0), "beta": (6.0, 8.0)}
+
+
+@query(f"WITH {_spectrum_sql(RATE)} SELECT vec_id, f::DOUBLE AS frequency_hz, round(power, 9) AS power FROM p")
 def welch_spectra(spark: SparkSession, folder: str) -> DataFrame:
-    return signals.spectra(_signals(spark, folder), ["vec_id"], "x", RATE)
+    return signals.spectra(_signals(spark, folder), ["vec_id"], "x", RATE).withColumn("power", F.round("power", 9))
 
 
-@query()
+@query(f"WITH {_spectrum_sql(RATE)}, {_NEXT} SELECT vec_id, " + ", ".join(f"round({_area_sql(a, b, RATE)} / {_area_sql(0.5, 8.0, RATE)}, 8) AS {name}" for name, (a, b) in _QUARTERS.items()) + " FROM n GROUP BY 1")
 def relative_band_power(spark: SparkSession, folder: str) -> DataFrame:
-    bands = {"delta": (0.5, 2.0), "theta": (2.0, 4.0), "alpha": (4.0, 6.0), "beta": (6.0, 8.0)}
-    return signals.signal_features(_signals(spark, folder), ["vec_id"], "x", list(bands), lambda x: kernels.band_powers(*kernels.welch(x, RATE), bands))
+    shares = signals.signal_features(_signals(spark, folder), ["vec_id"], "x", list(_QUARTERS), lambda x: kernels.band_powers(*kernels.welch(x, RATE), _QUARTERS))
+    return shares.withColumns({b: F.round(b, 8) for b in _QUARTERS})
 
 
 @query()
@@ -180,6 +197,16 @@ def staging_features(spark: SparkSession, folder: str) -> DataFrame:
     return signals.signal_features(_signals(spark, folder), ["vec_id"], "x", STAGING_NAMES, lambda x: kernels.staging_features(x, 64.0, 1.0))
 
 
+_BAND = lambda name: _area_sql(*kernels.STAGING_BANDS[name], 64.0)
+
+
+@query(f"WITH {_spectrum_sql(64.0)}, {_NEXT}, b AS (SELECT vec_id, {', '.join(f'{_BAND(b)} AS {b}' for b in kernels.STAGING_BANDS)}, {_area_sql(0.4, 30.0, 64.0)} AS wide FROM n GROUP BY 1) SELECT vec_id, round((sdelta + fdelta) / theta, 5) AS dt, round((sdelta + fdelta) / sigma, 5) AS ds, round((sdelta + fdelta) / beta, 5) AS db, round(alpha / theta, 5) AS at, round(wide, 9) AS abspow FROM b")
+def staging_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratios between the bands of the staging features, and their absolute power."""
+    rows = staging_features(spark, folder)
+    return rows.select("vec_id", *[F.round(c, 5).alias(c) for c in ("dt", "ds", "db", "at")], F.round("abspow", 9).alias("abspow"))
+
+
 SERIES_NAMES = sorted(kernels.series_features(np.sin(np.arange(64.0))[None, :] + np.arange(64.0) % 5))
 
 
