@@ -46,6 +46,38 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return placed.withColumn("_own", inside).join(offsets, same).withColumn("_k", F.col("_before") + F.col("_own")).drop("_own", "_before", "_at", *[f"_key{i}" for i in range(len(keys))])
 
 
+#: A value with at least this share of all rows is met by its rows in several tasks; there are at most as many such values as it takes.
+_HOT = 20_000
+
+
+def ranked_rows(rows: DataFrame, keys: list[str], value: str, salts: int = 8) -> DataFrame:
+    """``rows`` (keys, value and others) with ``rank``, the mean rank of the value within its group; no value may be NULL or NaN.
+
+    Distinct values are counted, sorted by range partitions of (keys, value), and each partition adds up its
+    own counts on top of those of the partitions before it. Rows then meet their value's rank in a join by a
+    hash; rows of hot values do so in ``salts`` tasks. NULL keys are a group.
+    """
+    # Written once: offsets and ranks must come from the same partition bounds.
+    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_equal"))
+    ordered = cut(counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    sizes = ordered.groupBy(*keys, "_part").agg(F.sum("_equal").alias("_rows"))
+    offsets = sizes.select(*keys, "_part", (F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_rows")).alias("_before"))
+    upto = F.sum("_equal").over(Window.partitionBy(*keys, "_part").orderBy(value))
+    known = join_null_safe(ordered.withColumn("_upto", upto), offsets, [*keys, "_part"])
+    hot = F.col("_equal") * _HOT >= ordered.agg(F.sum("_equal")).scalar()
+    number = lambda salt: F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in [*keys, value]], salt)
+    some = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    lookup = known.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.col(value).alias("_rv"), (F.col("_before") + F.col("_upto") - F.col("_equal") + (F.col("_equal") + 1) / 2).alias("rank"), number(F.lit(None)).alias("_plain"), some.alias("_salt"))
+    lookup = lookup.withColumn("_k", F.xxhash64("_plain", "_salt")).drop("_plain", "_salt")
+    often = ordered.where(hot).select(number(F.lit(None)).alias("_often"))
+    salted = rows.withColumn("_plain", number(F.lit(None)))
+    salted = salted.join(F.broadcast(often), F.col("_plain") == F.col("_often"), "left").withColumn("_key", F.xxhash64("_plain", F.when(F.col("_often").isNull(), 0).otherwise(F.floor(F.rand(1) * salts).cast("int"))))
+    # Partitioned and sorted by one number; what it stands for must agree, too.
+    agree = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())
+    same = reduce(lambda x, y: x & y, [agree(k, f"_r{k}") for k in keys], agree(value, "_rv"))
+    return salted.join(lookup, (F.col("_key") == F.col("_k")) & same).drop("_plain", "_often", "_key", "_k", "_rv", *[f"_r{k}" for k in keys])
+
+
 def spread_offsets(df: DataFrame, keys: list[str], order: list[Column], out: str, width: float = 1.0) -> DataFrame:
     """``df`` with offsets spread evenly over [-width/2, width/2] by rank; a single row sits at 0."""
     at = numbered(df, keys, order)
@@ -146,6 +178,28 @@ def safe_corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def _rank_pairs(df: DataFrame, n_left: int, n_right: int, groups: list[str]) -> DataFrame:
+    """(groups, _l, _r, x, y): the ranks of every pair of columns _a*, _b*, among the rows where neither is missing.
+
+    A column's ranks serve all partners without missing values; only for a partner with some it is ranked apart.
+    """
+    names = [*[f"_a{i}" for i in range(n_left)], *[f"_b{i}" for i in range(n_right)]]
+    # Written once: row numbers must stay the same.
+    keyed = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    gaps = keyed.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in names]).first()
+    partner = lambda c: c if gaps[c] else None
+    wanted = {(f"_a{i}", partner(f"_b{k}")) for i in range(n_left) for k in range(n_right)} | {(f"_b{k}", partner(f"_a{i}")) for i in range(n_left) for k in range(n_right)}
+    code = {pair: number for number, pair in enumerate(sorted(wanted, key=str))}
+    cells = F.array(*[F.struct(F.lit(number).alias("_c"), (F.when(F.col(other).isNotNull(), F.col(c)) if other else F.col(c)).alias("_v")) for (c, other), number in code.items()])
+    long = keyed.select(*groups, "_row", F.explode(F.filter(cells, lambda s: s["_v"].isNotNull())).alias("s")).select(*groups, "_row", "s.*")
+    ranks = ranked_rows(long, [*groups, "_c"], "_v").groupBy("_row").agg(*[F.max(F.when(F.col("_c") == n, F.col("rank"))).alias(f"_{n}") for n in range(len(code))])
+    pairs = F.array(*[
+        F.struct(F.lit(i).alias("_l"), F.lit(k).alias("_r"), *[F.when(F.col(f"_a{i}").isNotNull() & F.col(f"_b{k}").isNotNull(), F.col(f"_{code[own, partner(other)]}")).alias(name) for name, own, other in (("x", f"_a{i}", f"_b{k}"), ("y", f"_b{k}", f"_a{i}"))])
+        for i in range(n_left) for k in range(n_right)
+    ])
+    return keyed.join(ranks, "_row", "left").select(*groups, F.explode(pairs).alias("p")).select(*groups, "p.*")
+
+
 def correlation_matrix(df: DataFrame, left: list[str], right: list[str], groups: list[str], methods: tuple[str, ...] = ("pearson", "spearman"), least: int = 30) -> DataFrame:
     """Correlation of every left with every right column per group, in long form.
 
@@ -153,19 +207,14 @@ def correlation_matrix(df: DataFrame, left: list[str], right: list[str], groups:
     are left out before ranking; below ``least`` pairs, or without variance, the correlation is NULL.
     """
     finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double"))
-    # Columns go by number until the end: short sort keys for the rank windows.
+    # Columns go by number until the end.
     cells = df.select(*groups, F.posexplode(F.array(*[finite(a) for a in left])).alias("_l", "x"), F.array(*[finite(b) for b in right]).alias("_rs"))
     long = cells.select(*groups, "_l", "x", F.posexplode("_rs").alias("_r", "y"))
     cell = [*groups, "_l", "_r"]
-    full = F.col("x").isNotNull() & F.col("y").isNotNull()
+    used = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1))
     parts = []
     for method in methods:
-        rows = long
-        if method == "spearman":
-            rows = long.withColumn("full", full)
-            rows = rows.withColumns({"rx": F.when(F.col("full"), average_rank(F.col("x"), [*cell, "full"])), "ry": F.when(F.col("full"), average_rank(F.col("y"), [*cell, "full"]))})
-            rows = rows.withColumns({"x": F.col("rx"), "y": F.col("ry")})
-        used = F.count(F.when(full, 1))
+        rows = long if method == "pearson" else _rank_pairs(df.select(*groups, *[finite(a).alias(f"_a{i}") for i, a in enumerate(left)], *[finite(b).alias(f"_b{i}") for i, b in enumerate(right)]), len(left), len(right), groups)
         parts.append(rows.groupBy(*cell).agg(used.alias("n_used"), (F.count(F.lit(1)) - used).alias("n_missing"), F.when(used >= least, safe_corr("x", "y")).alias("correlation")).withColumn("method", F.lit(method)))
     name = lambda names, c: F.get(F.array(*[F.lit(n) for n in names]), F.col(c))
     out = reduce(DataFrame.unionByName, parts)

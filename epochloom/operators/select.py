@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from epochloom.session import cut
+
 _DIGIT_BITS = 16
 
 
@@ -37,7 +39,8 @@ def select_ranks(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame
 
     Returns the keys, target, value.
     """
-    coded = rows.select(*keys, F.col(value).alias("_v"), ordered_bits(F.col(value)).alias("_x"))
+    # Written once: every round reads it.
+    coded = cut(rows.select(*keys, F.col(value).alias("_v"), ordered_bits(F.col(value)).alias("_x")))
     state = wanted.select(*keys, "target", F.col("rank").alias("_rank"), F.lit(None).cast("long").alias("_prefix"))
     for step in range(64 // _DIGIT_BITS):
         shift = 64 - _DIGIT_BITS * (step + 1)
@@ -55,6 +58,7 @@ def select_ranks(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame
             .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
             .select(*keys, "target", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), F.col("_p").alias("_prefix"))
         )
+        state = cut(state)  # one row per group and target; the next round uses it twice
     same = same_keys(keys, "r", "s") & (F.col("r._x") == F.col("s._prefix"))
     return coded.alias("r").join(state.alias("s"), same).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], "target").agg(F.max("r._v").alias("value"))
 
