@@ -100,6 +100,7 @@ def adjust_pvalues(df: DataFrame, p: str, families: list[str], method: str = "fd
         return joined.withColumn(out, F.least(F.col("_p") * F.col("_tests"), F.lit(1.0))).drop("_p", "_tests")
     if method != "fdr_bh":
         raise ValueError(f"unknown method {method}")
+    base = cut(base)  # tests with and without a p-value go separate ways; neither is computed again
     without = base.where("_p IS NULL").withColumn(out, F.lit(None).cast("double")).drop("_p")
     tests = numbered(base.where("_p IS NOT NULL"), families, [F.col("_p")]).withColumn("_raw", F.col("_p") * F.col("_n") / F.col("_k"))
     least = tests.groupBy(*families, "_part").agg(F.min("_raw").alias("_least"))
